@@ -8,6 +8,7 @@ over the whole corpus.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ from loomrow.llm._shared import text_or_empty
 #: Pieces that one group packs, at the expected size.
 GROUP_PIECES = 1024
 #: Words whose ids a worker keeps; the cache starts anew beyond that.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Words encoded in one call, each followed by a mark.
 _RUN = 512
 
@@ -40,15 +41,26 @@ PIECES = T.StructType(
 )
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordEncoder:
     """Token ids as little-endian 32-bit bytes, each white-space-separated word encoded once.
 
-    Correct for tokenizers that drop white space before they merge: their ids
-    for a text are those of its words in a row. Words are cut at blanks and line
-    feeds only; what other white space a word holds is left to the tokenizer.
+    Correct for byte-level merge vocabularies with word ends that normalise by
+    NFC and lower case, drop white space and keep letters apart from the rest:
+    the ids for a text are those of its words in a row. New words of Latin-1
+    letters, with or without a full stop or comma behind them, are merged in bulk
+    by ranks (a zero byte stands for the word end); what else there is goes to
+    the tokenizer itself, runs of it in one call with a mark after each word.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -56,12 +68,49 @@ class WordEncoder:
         words = sorted((w for w in self._tokenizer.get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha()), key=lambda w: (-len(w), w))
         self._mark = next(w[:-4] for w in words if len(self._ids([w[:-4]])[0]) == 1)
         self._mark_id = self._ids([self._mark])[0][0]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte, vocab = _byte_of(), model["vocab"]
+        raw = lambda x: bytes(byte[c] for c in x.removesuffix("</w>")) + b"\0" * x.endswith("</w>")
+        merged = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        names = [c for c, _ in sorted(byte.items(), key=lambda x: x[1])]
+        names = [*names, *(c + "</w>" for c in names), *("".join(x) for x in merged)]
+        ranks: dict[bytes, int] = {}
+        for i, x in enumerate(names):
+            ranks.setdefault(raw(x), i)
+        self._id = np.array([vocab[x] for x in names], dtype="<u4")
+        self._last = np.array([x.endswith("</w>") for x in names])
+        self._ranks = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Encodes words in runs with a mark after each; a run that holds the mark itself goes word by word."""
+        letters, stopped, rest = [], [], []
+        for w in words:
+            if w.isalpha() and (w.isascii() or max(w) <= "\xff"):
+                letters.append(w)
+            elif w[-1:] in (".", ",") and (x := w[:-1]).isalpha() and (x.isascii() or max(x) <= "\xff"):
+                stopped.append(w)
+            else:
+                rest.append(w)
+        if letters:
+            self._merge(letters, "\0".join(letters).lower() + "\0", 1)
+        if stopped:
+            self._merge(stopped, "".join([f"{w[:-1]}\0{w[-1]}\0" for w in stopped]).lower(), 2)
+        self._tokenize(rest)
+
+    def _merge(self, words: list[str], joined: str, each: int) -> None:
+        """Encodes words whose parts, `each` a word, stand in joined, a zero after each part."""
+        ranks = self._ranks.encode_to_numpy(joined) if hasattr(self._ranks, "encode_to_numpy") else np.array(self._ranks.encode_ordinary(joined))
+        ends = (np.flatnonzero(self._last[ranks])[each - 1 :: each] + 1) * 4
+        raw, at = self._id[ranks].tobytes(), 0
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self._cache[word] = raw[at:end]
+            at = end
+
+    def _tokenize(self, words: list[str]) -> None:
+        """Encodes words by the tokenizer; a run that holds the mark itself goes word by word."""
         runs = [words[i : i + _RUN] for i in range(0, len(words), _RUN)]
         mark = f" {self._mark} "
         for run, ids in zip(runs, self._ids([mark.join(run) + mark for run in runs]), strict=True):
@@ -78,7 +127,14 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._cache) > CACHE_WORDS:
             self._cache.clear()
-        split = [text.replace("\n", " ").split(" ") for text in texts]
+        split = []
+        for text in texts:
+            try:
+                text.encode("latin-1")
+                text = text.lower()  # here the same as what the tokenizer does, and fewer words
+            except UnicodeEncodeError:
+                pass
+            split.append(text.replace("\n", " ").split(" "))
         if new := set().union(*split).difference(self._cache):
             self._learn(sorted(new))
         of = self._cache.__getitem__

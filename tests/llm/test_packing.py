@@ -64,3 +64,13 @@ def test_every_id_lies_in_one_piece(spark):
     total, used = len(seqs) * 64, sum(r.length for r in got)
     assert used / total > 0.9
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_random_words_encode_as_the_tokenizer_does():
+    import random
+
+    rng, tok = random.Random(4), Tokenizer.from_file(PATH)
+    bits = ["tion", "the", "é", "ß", "ü", "ª", "µ", "×", "a", "qu", "S", "T", ".", ",", "'", "1", "_", "ñ", "ó", "İ", "Σ", "\xa0", "\x85", "\x00", "-"]
+    texts = [" ".join("".join(rng.choices(bits[: rng.choice([12, len(bits)])], k=rng.randrange(1, 9))) for _ in range(40)) for _ in range(400)]
+    want = [struct.pack(f"<{len(i)}I", *i) for i in (tok.encode(t, add_special_tokens=False).ids for t in texts)]
+    assert packing.WordEncoder(PATH).encode(texts) == want
