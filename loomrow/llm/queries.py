@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomrow.llm import packing, sentencepiece, simhash
+from loomrow.llm import packing, sentencepiece, simhash, topk
 from loomrow.llm._shared import read
 
 QUERIES: dict = {}
@@ -37,3 +37,24 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, seed=42, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose id is divisible by 20."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors.filter("vec_id % 20 = 0"), vectors, 20)
+
+
+ORACLE_SQL["op3_exact_top_k"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+    where vec_id is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))
+), s as (
+    select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
+    from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
