@@ -60,3 +60,28 @@ def text_or_empty(column: str = "text"):
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sum_arrays(arrays: DataFrame) -> DataFrame:
+    """Sums by key of rows key (string), data (little-endian 64-bit integers, one length a key).
+
+    Rows are streamed in order of their keys, so a task holds one sum at a time.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        key, total = None, None
+        made = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([total.tobytes()], pa.binary())], names=["key", "data"])
+        for batch in batches:
+            for k, data in zip(batch.column(0), batch.column(1), strict=True):
+                k, x = k.as_py(), np.frombuffer(data.as_py(), "<i8")
+                if k != key:
+                    if key is not None:
+                        yield made()
+                    key, total = k, np.zeros(len(x), "<i8")
+                total += x
+        if key is not None:
+            yield made()
+
+    return arrays.select("key", "data").repartition(parallelism(arrays.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key string, data binary")

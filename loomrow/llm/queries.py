@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomrow.llm import packing, sentencepiece, simhash, topk
+from loomrow.llm import langid, packing, sentencepiece, simhash, topk
 from loomrow.llm._shared import read
 
 QUERIES: dict = {}
@@ -58,3 +58,11 @@ with v as (
 )
 select query_id, rank, vec_id, score from r where rank <= 20
 """
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out("doc_id", 4, 2).alias("held_out"))
+    model = langid.train(docs.filter("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep=("doc_id", "held_out")).drop("spans")
