@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomrow.llm import chat, langid, packing, sentencepiece, simhash, topk, warc
+from loomrow.llm import chat, imatch, langid, packing, sentencepiece, simhash, topk, warc
 from loomrow.llm._shared import read, scratch
 
 QUERIES: dict = {}
@@ -124,3 +124,12 @@ select page_id, payload_bytes, payload_digest,
     case when payload_bytes >= 1000 and page_id is distinct from keeper then keeper end as refers_to
 from k
 """
+
+
+@query
+def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    docs = read(spark, sf_dir, "documents")
+    text = lambda c: F.array_join(c, "")
+    near = imatch.edited_likeness(docs, imatch.lexicon(docs))
+    return near.select("doc_id", "n_chars", "edited_sha256", text("hashes").alias("fingerprint"), text("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next")
