@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomrow.llm import chat, imatch, langid, packing, sentencepiece, simhash, topk, warc
+from loomrow.llm import chat, imatch, langid, packing, pii, sentencepiece, simhash, topk, warc
 from loomrow.llm._shared import read, scratch
 
 QUERIES: dict = {}
@@ -133,3 +133,13 @@ def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.array_join(c, "")
     near = imatch.edited_likeness(docs, imatch.lexicon(docs))
     return near.select("doc_id", "n_chars", "edited_sha256", text("hashes").alias("fingerprint"), text("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
