@@ -50,6 +50,34 @@ def fingerprint(text: str, shingle: int, seed: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The bits set in over half of some 64-bit hashes, as a count for each bit is compared with half their number."""
+    counts = np.zeros(BITS, np.int64)
+    for low in range(0, len(hashes), 32768):
+        counts += np.unpackbits(hashes[low : low + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def sketch(text: str, shingle: int, seed: int) -> tuple[int, int, int]:
+    """A fingerprint of the distinct words, and 128 bits of one of the distinct shingles.
+
+    An edit touches as many words as it changes, but `shingle` times as many
+    shingles: the first finds near copies within few bits, the second tells how
+    like their shingles are.
+    """
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    if not words:
+        return 0, 0, 0
+    joined = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    w = np.array([xxh64_intdigest(x, seed) for x in set(words)], np.uint64)
+    h = np.array([xxh64_intdigest(x, seed) for x in joined], np.uint64)
+    again = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    again ^= again >> np.uint64(29)
+    return int(majority(w)[0]), int(majority(h)[0]), int(majority(again)[0])
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, fp (the 64 bits as a signed long)."""
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
@@ -136,12 +164,15 @@ def _spread(fps: np.ndarray, turn: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(2)).astype(np.int64)
 
 
+#: What a row can carry besides: its own number where fingerprints don't name it, and 128 bits to compare.
+CARRIED = ("node", "first", "second")
 MEETINGS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("data_block", T.IntegerType()), T.StructField("probe_block", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("fp", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _meetings(fps: np.ndarray, parts: list[list[int]], near: list[np.ndarray], distance: int, block: int) -> list[list[np.ndarray]]:
-    """Columns of MEETINGS for some fingerprints: role 1 is data, 2 a probe, 3 both."""
+    """Columns of MEETINGS for some fingerprints, with their places instead of themselves: role 1 is data, 2 a probe, 3 both."""
+    places = np.arange(len(fps))
     bits, m = _bits(fps), len(parts)
     values = [_part(bits, p) for p in parts]
     probes = [sum(1 for k in range(t + 1) for _ in combinations(range(len(p)), k)) for p in parts[:1] for t in range(_MOST + 1)]
@@ -149,27 +180,27 @@ def _meetings(fps: np.ndarray, parts: list[list[int]], near: list[np.ndarray], d
     limit = allot(cost, distance - m + 1)
     out: list[list[np.ndarray]] = []
 
-    def put(i: int, value: np.ndarray, fp: np.ndarray, role: int) -> None:
+    def put(i: int, value: np.ndarray, at: np.ndarray, role: int) -> None:
         grid = -(-near[i][[0, _MOST]][:, value] // block)
         data, probe = np.maximum(grid[0], 1), np.maximum(grid[1], 1)
         plain = (data == 1) & (probe == 1)
         zero = np.zeros(int(plain.sum()), np.int64)
-        out.append([zero + i, value[plain], zero, zero, zero + role, fp[plain]])
+        out.append([zero + i, value[plain], zero, zero, zero + role, at[plain]])
         for r in (1, 2) if (hot := ~plain).any() else ():
             if role & r:
                 own, of = (data, probe) if r == 1 else (probe, data)
-                n, own, x, v = of[hot], own[hot], fp[hot], value[hot]
+                n, own, x, v = of[hot], own[hot], at[hot], value[hot]
                 each = np.repeat(np.arange(len(n)), n)
                 other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                mine = (_spread(x, r) % own)[each]
+                mine = (_spread(fps[x] ^ _dealt[x], r) % own)[each]
                 out.append([np.full(len(each), i), v[each], mine if r == 1 else other, other if r == 1 else mine, np.full(len(each), r), x[each]])
 
     for i, part in enumerate(parts):
-        put(i, values[i][limit[:, i] >= 0], fps[limit[:, i] >= 0], 3)
-        put(i, values[i][limit[:, i] < 0], fps[limit[:, i] < 0], 1)
+        put(i, values[i][limit[:, i] >= 0], places[limit[:, i] >= 0], 3)
+        put(i, values[i][limit[:, i] < 0], places[limit[:, i] < 0], 1)
         for t in range(1, _MOST + 1):
             if (take := limit[:, i] >= t).any():
-                v, x = values[i][take], fps[take]
+                v, x = values[i][take], places[take]
                 for flips in combinations(range(len(part)), t):
                     value = v ^ sum(1 << j for j in flips)
                     if (met := near[i][0][value] > 0).any():
