@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomrow.llm import chat, imatch, langid, packing, pii, sentencepiece, simhash, topk, warc
+from loomrow.llm import chat, contextmix, imatch, langid, packing, pii, sentencepiece, simhash, topk, warc
 from loomrow.llm._shared import read, scratch
 
 QUERIES: dict = {}
@@ -25,6 +25,14 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, sequence=4096).drop("ids")
 
 
+@query
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by the mixing model and by the word model, learned from six sevenths of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", langid.held_out("doc_id", 7, 2).alias("held_out"))
+    model = contextmix.train(docs.filter("not held_out"))
+    return contextmix.score(docs, model, keep=("doc_id", "held_out"))
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents and the texts they decode to, as digests."""
