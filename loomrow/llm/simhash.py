@@ -62,6 +62,65 @@ def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, out)
 
 
+#: Words of 64 bits in a shingle sketch, and fingerprints that candidates are searched by.
+SKETCH, PRINTS = 4, 2
+
+
+def _again(h: np.ndarray, turn: int) -> np.ndarray:
+    """Another 64-bit hash out of one."""
+    x = (h ^ np.uint64(0x9E3779B97F4A7C15 * turn & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(h: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for low in range(0, len(h), 32768):
+        counts += np.unpackbits(h[low : low + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_sketch(h: np.ndarray) -> np.ndarray:
+    """One bit of the least hash in each of 256 ranges; equal bits tell the Jaccard similarity of the sets hashed.
+
+    An empty range takes the least hash of the next one that isn't, mixed with how far that is.
+    """
+    n = 64 * SKETCH
+    h = np.sort(h)
+    at = (h >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    there, least = at[first], h[first]
+    nearest = np.searchsorted(there, np.arange(n)) % len(there)
+    away = (there[nearest] - np.arange(n)) % n
+    bit = _again(least[nearest] + away.astype(np.uint64), 1) >> np.uint64(63)
+    return np.packbits(bit.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def likeness(differ: np.ndarray | int) -> np.ndarray | float:
+    """Jaccard similarity that so many different bits of two sketches tell."""
+    return 1 - 2 * differ / (64 * SKETCH)
+
+
+def word_prints(text: str, shingle: int, seed: int) -> np.ndarray:
+    """PRINTS fingerprints of the distinct words, then the sketch of the shingles; zeros without words.
+
+    An edit changes `shingle` times as many shingles as words: the fingerprints
+    of words find similar texts within few bits, the sketch tells how similar.
+    """
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(PRINTS + SKETCH, np.uint64)
+    w = np.array([xxh64_intdigest(x, seed) for x in set(words)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.append(0, ends[:-1])[: max(1, len(words) - shingle + 1)].tolist()
+    ends = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
+    h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
+    return np.concatenate([np.array([_majority(_again(w, i)) for i in range(PRINTS)], np.uint64), shingle_sketch(h)])
+
+
 def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
@@ -137,11 +196,14 @@ def _spread(fps: np.ndarray, turn: int) -> np.ndarray:
 
 
 MEETINGS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("data_block", T.IntegerType()), T.StructField("probe_block", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("fp", T.LongType())])
+#: What else a row carries where fingerprints don't name the nodes and sketches decide.
+CARRIED = ("node", *(f"s{i}" for i in range(SKETCH)))
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _meetings(fps: np.ndarray, parts: list[list[int]], near: list[np.ndarray], distance: int, block: int) -> list[list[np.ndarray]]:
-    """Columns of MEETINGS for some fingerprints: role 1 is data, 2 a probe, 3 both."""
+def _meetings(fps: np.ndarray, nodes: np.ndarray, parts: list[list[int]], near: list[np.ndarray], distance: int, block: int) -> list[list[np.ndarray]]:
+    """Columns of MEETINGS for some fingerprints, by their places: role 1 is data, 2 a probe, 3 both. Nodes deal them to blocks."""
+    places = np.arange(len(fps))
     bits, m = _bits(fps), len(parts)
     values = [_part(bits, p) for p in parts]
     probes = [sum(1 for k in range(t + 1) for _ in combinations(range(len(p)), k)) for p in parts[:1] for t in range(_MOST + 1)]
@@ -149,27 +211,27 @@ def _meetings(fps: np.ndarray, parts: list[list[int]], near: list[np.ndarray], d
     limit = allot(cost, distance - m + 1)
     out: list[list[np.ndarray]] = []
 
-    def put(i: int, value: np.ndarray, fp: np.ndarray, role: int) -> None:
+    def put(i: int, value: np.ndarray, at: np.ndarray, role: int) -> None:
         grid = -(-near[i][[0, _MOST]][:, value] // block)
         data, probe = np.maximum(grid[0], 1), np.maximum(grid[1], 1)
         plain = (data == 1) & (probe == 1)
         zero = np.zeros(int(plain.sum()), np.int64)
-        out.append([zero + i, value[plain], zero, zero, zero + role, fp[plain]])
+        out.append([zero + i, value[plain], zero, zero, zero + role, at[plain]])
         for r in (1, 2) if (hot := ~plain).any() else ():
             if role & r:
                 own, of = (data, probe) if r == 1 else (probe, data)
-                n, own, x, v = of[hot], own[hot], fp[hot], value[hot]
+                n, own, x, v = of[hot], own[hot], at[hot], value[hot]
                 each = np.repeat(np.arange(len(n)), n)
                 other = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                mine = (_spread(x, r) % own)[each]
+                mine = (_spread(nodes[x], r) % own)[each]
                 out.append([np.full(len(each), i), v[each], mine if r == 1 else other, other if r == 1 else mine, np.full(len(each), r), x[each]])
 
     for i, part in enumerate(parts):
-        put(i, values[i][limit[:, i] >= 0], fps[limit[:, i] >= 0], 3)
-        put(i, values[i][limit[:, i] < 0], fps[limit[:, i] < 0], 1)
+        put(i, values[i][limit[:, i] >= 0], places[limit[:, i] >= 0], 3)
+        put(i, values[i][limit[:, i] < 0], places[limit[:, i] < 0], 1)
         for t in range(1, _MOST + 1):
             if (take := limit[:, i] >= t).any():
-                v, x = values[i][take], fps[take]
+                v, x = values[i][take], places[take]
                 for flips in combinations(range(len(part)), t):
                     value = v ^ sum(1 << j for j in flips)
                     if (met := near[i][0][value] > 0).any():
@@ -177,14 +239,18 @@ def _meetings(fps: np.ndarray, parts: list[list[int]], near: list[np.ndarray], d
     return out
 
 
-def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
-    """Links among rows sorted by all of MEETINGS but role and fp; a block goes on over batches."""
+def verify(batches: Iterator[pa.RecordBatch], distance: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
+    """Links among rows sorted by all of MEETINGS but role and fp; a block goes on over batches.
+
+    With a similarity, rows have the columns CARRIED too, and sketches must tell as much.
+    """
     rest: tuple[np.ndarray, ...] | None = None
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
-    def pairs(key: np.ndarray, role: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        data, probe = fp[role & 1 > 0], fp[role & 2 > 0]
+    def pairs(key: np.ndarray, role: np.ndarray, fps: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        datas, probes = [x[role & 1 > 0] for x in fps], [x[role & 2 > 0] for x in fps]
+        data, probe = datas[0], probes[0]
         blocks = key[-1] + 1
         n = np.bincount(key[role & 1 > 0], minlength=blocks)
         first = np.cumsum(n) - n
@@ -197,9 +263,14 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
             c = count[low:high]
             each = np.repeat(np.arange(low, high), c)
             at = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c) + begin[each]
-            a, b = probe[each], data[at]
-            near = (np.bitwise_count(a ^ b) <= distance) & (a != b)
-            yield a[near], b[near]
+            near = np.flatnonzero(np.bitwise_count(probe[each] ^ data[at]) <= distance)
+            each, at = each[near], at[near]
+            a, b = (x[min(1, len(fps) - 1)] for x in (probes, datas))
+            apart = a[each] != b[at]
+            if similarity is not None:
+                differ = sum(np.bitwise_count(x[each] ^ y[at]).astype(np.int64) for x, y in zip(probes[2:], datas[2:], strict=True))
+                apart &= likeness(differ) >= similarity
+            yield a[each[apart]], b[at[apart]]
             low = high
 
     def links(cols: tuple[np.ndarray, ...]) -> None:
@@ -207,7 +278,7 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         change = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             change[1:] |= c[1:] != c[:-1]
-        for a, b in pairs(np.cumsum(change), cols[4], cols[5]):
+        for a, b in pairs(np.cumsum(change), cols[4], cols[5:]):
             if len(a):
                 kept.append(forest(a.view(np.int64), b.view(np.int64)))
                 held += len(kept[-1][0])
@@ -217,7 +288,7 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
 
     for batch in batches:
         cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cols = (*cols[:5], cols[5].view(np.uint64))
+        cols = (*cols[:5], *(c.view(np.uint64) for c in cols[5:]))
         if rest is not None:
             cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
         if not len(cols[0]):
@@ -236,9 +307,12 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
 
 
-def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
     """Links a, b whose components are those of all pairs within distance bits, for distinct fingerprints (column fp).
 
+    With a similarity, rows have the columns CARRIED too (node: their distinct
+    numbers, which a and b then are), and pairs count whose sketches tell as much.
+
     parts bits widths of at most 24 are tabulated exactly (parts * 2^width
     counts), which is what the driver gets and broadcasts: under 64 MB whatever
     the input.
@@ -277,16 +351,20 @@ def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK)
         near.append(within(n, len(p)))
     shared = fps.sparkSession.sparkContext.broadcast((grouped, near))
 
+    carried = CARRIED if similarity is not None else ()
+    out = T.StructType([*MEETINGS.fields, *(T.StructField(c, T.LongType()) for c in carried)])
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
-            for cols in _meetings(batch.column(0).to_numpy().view(np.uint64), *shared.value, distance, block):
+            own = [c.to_numpy().view(np.uint64) for c in batch.columns]
+            for cols in _meetings(own[0], own[min(1, len(own) - 1)], *shared.value, distance, block):
                 if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(t) for c, t in zip(cols, types, strict=True)], names=MEETINGS.names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(cols, types, strict=False)), *(pa.array(x[cols[5]].view(np.int64)) for x in own)], names=out.names)
 
     key = MEETINGS.names[:4]
-    met = fps.select("fp").mapInArrow(meet, MEETINGS).repartition(parallelism(fps.sparkSession), *key).sortWithinPartitions(*key)
-    return met.mapInArrow(lambda batches: verify(batches, distance), LINKS)
+    met = fps.select("fp", *carried).mapInArrow(meet, out).repartition(parallelism(fps.sparkSession), *key).sortWithinPartitions(*key)
+    return met.mapInArrow(lambda batches: verify(batches, distance, similarity), LINKS)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distance: int = 4, parts: int = 4, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,3 +385,54 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distan
     rooted = checkpoint(classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, seed: int = 42, distance: int = 5, parts: int = 4, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+    """Rows of keys and component (a number), one for each row of docs: equal for texts that a chain of similar ones joins.
+
+    Two texts are similar if the Jaccard similarity of their word shingles is
+    `similarity` or more, as sketches of 256 bits tell it (standard error 0.04
+    at 0.8; slack is taken off, so that few such pairs are missed). Candidates
+    are texts with a fingerprint of their distinct words within `distance` bits,
+    by either of PRINTS fingerprints. Texts that are alike in all of these are
+    one class before anything is linked.
+
+    Texts shorter than a shingle have the whole sequence as their one; null,
+    empty and blank texts are one class. Null keys and repeated rows stay, whole
+    texts count, other columns are ignored, no rows give none.
+    """
+    prints = [*(f"p{i}" for i in range(PRINTS)), *CARRIED[1:]]
+    out = T.StructType([*(docs.schema[c] for c in keys), *(T.StructField(c, T.LongType()) for c in prints)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([word_prints(x.as_py(), shingle, seed) for x in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=out.names)
+
+    rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out).withColumn("node", F.xxhash64(*prints)))
+    classes = checkpoint(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in prints)))
+    found = [links(classes.select(F.col(f"p{i}").alias("fp"), *CARRIED), distance, parts=parts, block=block, similarity=similarity - slack) for i in range(PRINTS)]
+    both = found[0]
+    for x in found[1:]:
+        both = both.unionByName(x)
+    return rows.join(components(both), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, one of each component of similar_classes: that of the smallest id (null: larger than any), one of equal rows.
+
+    Options are those of similar_classes. All columns of docs stay; texts are
+    moved once, in a join of the rows with the keepers' ids and text hashes.
+    """
+    marked = docs.withColumns({"id of the row": F.col(id_col).cast("long"), "hash of the row": F.xxhash64(F.col(text_col).cast("string"))})
+    key = ("id of the row", "hash of the row")
+    classes = similar_classes(marked, keys=key, text_col=text_col, **options)
+    order = F.struct(F.col(key[0]).isNull(), *key)
+    kept = checkpoint(classes.groupBy("component").agg(F.min(order).alias("k")).select(*(F.col("k")[c].alias(c) for c in key)))
+    same = lambda a, b: a[key[0]].eqNullSafe(b[key[0]]) & (a[key[1]] == b[key[1]])
+    many = checkpoint(classes.groupBy(*key).count().filter("count > 1").select(*key))
+    once = marked.join(kept, same(marked, kept), "left_semi")
+    if many.isEmpty():
+        return once.drop(*key)
+    again = once.join(many, same(once, many), "left_semi").dropDuplicates(list(key))
+    return once.join(many, same(once, many), "left_anti").unionByName(again).drop(*key)
