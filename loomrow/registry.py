@@ -1,7 +1,9 @@
-"""The queries of the reference's own operators, and SQL that gives the same rows."""
+"""The queries of the engine, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from loomrow.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "most_reads_node"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
