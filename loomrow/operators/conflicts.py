@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrow.operators.frames import in_groups, numbered
+from loomrow.operators.frames import ROWS_A_WINDOW, in_groups, numbered, surrounding
 
 #: Lock modes that each mode goes with, besides the requester's own locks (fixed values).
 COMPATIBLE = {"S": ("S", "IS"), "X": (), "SIX": ("IS",), "IX": ("IX", "IS"), "IS": ("IS", "IX", "S", "SIX")}
@@ -33,29 +33,31 @@ def requests(accesses: DataFrame) -> DataFrame:
     return accesses.groupBy("tx", "tbl", "k").agg(F.max(F.col("op") != "R").alias("w")).select("tx", "tbl", "k", F.when(F.col("w"), "X").otherwise("S").alias("mode"))
 
 
-def queue_positions(locks: DataFrame, rows: int = 1 << 18) -> DataFrame:
+def queue_positions(locks: DataFrame, rows: int = ROWS_A_WINDOW) -> DataFrame:
     """Adds position (from 1) of each request in its key's queue."""
     return numbered(locks, "tx", "position", within=("tbl", "k"), rows=rows).withColumn("position", F.col("position") + 1)
 
 
-def waits(locks: DataFrame) -> DataFrame:
+def waits(locks: DataFrame, rows: int = ROWS_A_WINDOW) -> DataFrame:
     """tbl, k, tx, mode, waits_for, held_mode: the requests that each request directly waits for.
 
     A shared request waits for the last exclusive one before it. An exclusive
     one waits for every shared one since the last exclusive, or for that itself
     if there is none between. Each request is waited for by no more than the
     shared ones up to the next exclusive, so there are at most two rows a
-    request, however hot a key is.
+    request, however hot a key is; a hot key's queue is cut into ranges.
     """
-    by = Window.partitionBy("tbl", "k").orderBy("tx")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    after = by.rowsBetween(1, Window.unboundedFollowing)
     exclusive = F.when(F.col("mode") == "X", F.col("tx"))
-    seen = locks.withColumns({"x_before": F.last(exclusive, True).over(before), "x_after": F.first(exclusive, True).over(after), "mode_before": F.lag("mode").over(by), "tx_before": F.lag("tx").over(by)})
-    shared = seen.where("mode = 'S' and x_before is not null").select("tbl", "k", "tx", "mode", F.col("x_before").alias("waits_for"), F.lit("X").alias("held_mode"))
-    before_x = seen.where("mode = 'S' and x_after is not null").select("tbl", "k", F.col("x_after").alias("tx"), F.lit("X").alias("mode"), F.col("tx").alias("waits_for"), F.lit("S").alias("held_mode"))
-    next_x = seen.where("mode = 'X' and mode_before = 'X'").select("tbl", "k", "tx", "mode", F.col("tx_before").alias("waits_for"), F.lit("X").alias("held_mode"))
-    return shared.unionByName(before_x).unionByName(next_x)
+    seen = surrounding(locks, "tx", before={"x_before": exclusive, "tx_before": F.col("tx")}, after={"x_after": exclusive}, within=("tbl", "k"), rows=rows)
+    lit = F.lit
+    row = lambda tx, mode, waits_for, held: F.struct(tx.alias("tx"), lit(mode).alias("mode"), waits_for.alias("waits_for"), lit(held).alias("held_mode"))
+    shared, x = F.col("mode") == "S", F.col("mode") == "X"
+    found = F.array(
+        F.when(shared & F.col("x_before").isNotNull(), row(F.col("tx"), "S", F.col("x_before"), "X")),
+        F.when(shared & F.col("x_after").isNotNull(), row(F.col("x_after"), "X", F.col("tx"), "S")),
+        F.when(x & (F.col("x_before") == F.col("tx_before")), row(F.col("tx"), "X", F.col("x_before"), "X")),
+    )
+    return seen.select("tbl", "k", F.inline(F.filter(found, lambda r: r.isNotNull())))
 
 
 def levels(locks: DataFrame, batched: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import groupby, islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,13 +41,10 @@ def numbered(df: DataFrame, order: str, name: str, *, within: Sequence[str] = ()
     numbered by itself and raised by the counts of those before it, so no task
     sorts more than about `rows` rows, however large a group is.
     """
-    ranges = -(-df.count() // rows)
     by = Window.partitionBy(*within, "range of order").orderBy(order, *ties)
-    if ranges <= 1:
-        out = df.withColumn("range of order", F.lit(0)).withColumn(name, (F.row_number().over(by) - 1).cast("long"))
-        return out.drop("range of order")
-    marks = df.agg(F.percentile_approx(F.col(order), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    parted = df.withColumn("range of order", F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda x: x <= F.col(order))))
+    parted, ranges = _ranged(df, order, rows)
+    if ranges == 1:
+        return parted.withColumn(name, (F.row_number().over(by) - 1).cast("long")).drop("range of order")
     counts = parted.groupBy(*within, "range of order").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*within).orderBy("range of order").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*within, "range of order", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows before"))
@@ -55,21 +52,42 @@ def numbered(df: DataFrame, order: str, name: str, *, within: Sequence[str] = ()
     return out.select(*df.columns, F.col(name).cast("long").alias(name))
 
 
-def running_max(df: DataFrame, value: str, order: str, name: str, *, within: Sequence[str] = (), rows: int = ROWS_A_WINDOW) -> DataFrame:
-    """Adds name: the largest value up to and including each row in the order of a numeric column (no ties within a group).
+def _ranged(df: DataFrame, order: str, rows: int) -> tuple[DataFrame, int]:
+    """df with its range of the order, and how many ranges there are."""
+    ranges = max(1, -(-df.count() // rows))
+    if ranges == 1:
+        return df.withColumn("range of order", F.lit(0)), 1
+    marks = df.agg(F.percentile_approx(F.col(order), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
+    return df.withColumn("range of order", F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda x: x <= F.col(order)))), ranges
+
 
-    Cut into ranges like numbered, so that few groups don't make few tasks.
+def surrounding(df: DataFrame, order: str, *, before: Mapping[str, Column] | None = None, after: Mapping[str, Column] | None = None, upto: Mapping[str, Column] | None = None, within: Sequence[str] = (), rows: int = ROWS_A_WINDOW) -> DataFrame:
+    """Adds columns by name: the largest value among earlier rows (before), earlier rows and its own (upto), the least among later rows (after).
+
+    The order is a numeric column without ties inside a group of within. Rows
+    are cut into ranges like numbered, so few or hot groups don't make large
+    tasks; what other ranges give comes from a small table.
     """
-    ranges = max(1, -(-df.count() // rows))
-    marks = df.agg(F.percentile_approx(F.col(order), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
-    parted = df.withColumn("range of order", F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))).cast("array<bigint>"), lambda x: x <= F.col(order))))
-    upto = Window.partitionBy(*within, "range of order").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before, after, upto = before or {}, after or {}, upto or {}
+    parted, ranges = _ranged(df, order, rows)
+    high = {**before, **upto}
+    parted = parted.withColumns({f"value of {n}": v for n, v in {**high, **after}.items()})
+    own = Window.partitionBy(*within, "range of order").orderBy(order)
+    frame = lambda n: own.rowsBetween(Window.unboundedPreceding, 0 if n in upto else -1)
+    found = {n: F.max(f"value of {n}").over(frame(n)) for n in high} | {n: F.min(f"value of {n}").over(own.rowsBetween(1, Window.unboundedFollowing)) for n in after}
     if ranges == 1:
-        return parted.withColumn(name, F.max(value).over(upto)).drop("range of order")
-    before = Window.partitionBy(*within).orderBy("range of order").rowsBetween(Window.unboundedPreceding, -1)
-    tops = parted.groupBy(*within, "range of order").agg(F.max(value).alias("m")).withColumn("most before", F.max("m").over(before)).drop("m")
-    out = parted.join(tops, [*within, "range of order"]).withColumn(name, F.greatest(F.max(value).over(upto), "most before"))
-    return out.select(*df.columns, name)
+        return parted.select(*df.columns, *(c.alias(n) for n, c in found.items()))
+    tops = parted.groupBy(*within, "range of order").agg(*(F.max(f"value of {n}").alias(f"m {n}") for n in high), *(F.min(f"value of {n}").alias(f"m {n}") for n in after))
+    by = Window.partitionBy(*within).orderBy("range of order")
+    rest = [F.max(f"m {n}").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias(f"r {n}") for n in high] + [F.min(f"m {n}").over(by.rowsBetween(1, Window.unboundedFollowing)).alias(f"r {n}") for n in after]
+    out = parted.join(tops.select(*within, "range of order", *rest), [*within, "range of order"])
+    both = {n: F.greatest(c, f"r {n}") if n in high else F.least(c, f"r {n}") for n, c in found.items()}
+    return out.select(*df.columns, *(c.alias(n) for n, c in both.items()))
+
+
+def running_max(df: DataFrame, value: str, order: str, name: str, *, within: Sequence[str] = (), rows: int = ROWS_A_WINDOW) -> DataFrame:
+    """Adds name: the largest value up to and including each row in the order of a numeric column (no ties within a group)."""
+    return surrounding(df, order, upto={name: F.col(value)}, within=within, rows=rows)
 
 
 def in_groups(df: DataFrame, group: str, order: Sequence[str], f: Callable[[object, Iterator[dict]], Iterable[dict]], schema: str) -> DataFrame:

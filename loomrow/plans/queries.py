@@ -453,7 +453,7 @@ union all select tbl, k, x_after, 'X', tx, 'S' from w where mode = 'S' and x_aft
 union all select tbl, k, tx, mode, tx_before, 'X' from w where mode = 'X' and mode_before = 'X'""")
 def conflict_pairs(spark, sf_dir):
     """Which request directly waits for which."""
-    return conflicts.waits(conflicts.requests(tables.order_accesses(spark, sf_dir)))
+    return conflicts.waits(checkpoint(conflicts.requests(tables.order_accesses(spark, sf_dir))))
 
 
 @query(f"with {_LOCKS} select *, row_number() over (partition by tbl, k order by tx)::bigint as position from locks")

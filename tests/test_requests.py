@@ -185,6 +185,7 @@ def test_waits_and_levels(spark, acc):
     locks = conflicts.requests(df).cache()
     mode = {(r.tx, r.tbl, r.k): r.mode for r in locks.collect()}
     waits = conflicts.waits(locks).collect()
+    assert sorted(map(tuple, waits)) == sorted(map(tuple, conflicts.waits(locks, rows=25).collect()))
     assert len(waits) <= 2 * len(mode)
     # a lock manager that grants in queue order blocks on the same ones
     before = defaultdict(set)
