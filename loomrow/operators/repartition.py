@@ -93,9 +93,10 @@ def receive_delta(members: DataFrame, vertices: DataFrame, edges: DataFrame, n:
 
 
 def metis_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """line_no, line: the graph in METIS form, vertices numbered from 1 by key; each line has a weight, then neighbours with edge weights."""
+    """line_no, line: the graph in METIS form, vertices numbered from 1 by key (its number, then its text); each line has a weight, then neighbours with edge weights."""
     spark = vertices.sparkSession
-    ids = checkpoint(numbered(vertices.withColumn("order", F.xxhash64("v")), "order", "id", ties=("v",)).select("v", "weight", (F.col("id") + 1).alias("id")))
+    number = F.coalesce(F.substring_index("v", ":", -1).try_cast("long"), F.lit(0))
+    ids = checkpoint(numbered(vertices.withColumn("order", number), "order", "id", ties=("v",)).select("v", "weight", (F.col("id") + 1).alias("id")))
     ends = edges.join(ids.select(F.col("v").alias("src"), F.col("id").alias("a")), "src").join(ids.select(F.col("v").alias("dst"), F.col("id").alias("b")), "dst")
     lists = ends.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "weight"))).alias("near"))
     text = F.concat_ws(" ", F.col("weight").cast("string"), F.transform("near", lambda x: F.concat_ws(" ", x["b"].cast("string"), x["weight"].cast("string"))))

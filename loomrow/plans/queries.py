@@ -675,7 +675,9 @@ def recv_load_delta(spark, sf_dir):
     return repartition.receive_delta(vertices.orderBy(F.desc("weight"), "v").limit(3), vertices, edges, NODES)
 
 
-@query()
+@query(f"""with {_ACC}, {_NODES}, {_HEAT}, ids as (select v, weight, row_number() over (order by split_part(v, ':', 2)::bigint, v) as id from vertices)
+select 0::bigint as line_no, (select count(*) from vertices) || ' ' || (select count(*) // 2 from heat_edges) || ' 011' as line
+union all select i.id, any_value(i.weight) || coalesce(' ' || string_agg(o.id || ' ' || e.weight, ' ' order by o.id), '') from ids i left join heat_edges e on e.src = i.v left join ids o on o.v = e.dst group by i.id""")
 def metis_lines(spark, sf_dir):
     """The heat graph as METIS lines."""
     return repartition.metis_lines(*_heat(spark, sf_dir))
