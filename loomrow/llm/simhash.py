@@ -10,6 +10,7 @@ each block leaves a task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +30,8 @@ BLOCK = 2048
 _PAIRS = 1 << 20
 #: Flips of a part value that a probe can take at most.
 _MOST = 2
+#: Candidate pairs that cost as much to verify as one wide row to move: nanoseconds against microseconds.
+_WIDE_ROW = 1000.0
 
 
 def fingerprint(text: str, shingle: int, seed: int) -> int:
@@ -63,7 +66,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: s
 
 
 #: Words of 64 bits in a shingle sketch, and fingerprints that candidates are searched by.
-SKETCH, PRINTS = 4, 2
+SKETCH, PRINTS = 4, 3
 
 
 def _again(h: np.ndarray, turn: int) -> np.ndarray:
@@ -201,13 +204,13 @@ CARRIED = ("node", *(f"s{i}" for i in range(SKETCH)))
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _meetings(fps: np.ndarray, nodes: np.ndarray, parts: list[list[int]], near: list[np.ndarray], distance: int, block: int) -> list[list[np.ndarray]]:
+def _meetings(fps: np.ndarray, nodes: np.ndarray, parts: list[list[int]], near: list[np.ndarray], distance: int, row: float, block: int) -> list[list[np.ndarray]]:
     """Columns of MEETINGS for some fingerprints, by their places: role 1 is data, 2 a probe, 3 both. Nodes deal them to blocks."""
     places = np.arange(len(fps))
     bits, m = _bits(fps), len(parts)
     values = [_part(bits, p) for p in parts]
-    probes = [sum(1 for k in range(t + 1) for _ in combinations(range(len(p)), k)) for p in parts[:1] for t in range(_MOST + 1)]
-    cost = np.stack([np.concatenate([np.zeros((1, len(fps))), near[i][:, values[i]] + 4.0 * np.array(probes)[:, None]]) for i in range(m)])
+    probes = np.array([[sum(math.comb(len(p), k) for k in range(t + 1)) for t in range(_MOST + 1)] for p in parts])
+    cost = np.stack([np.concatenate([np.zeros((1, len(fps))), near[i][:, values[i]] + row * probes[i][:, None]]) for i in range(m)])
     limit = allot(cost, distance - m + 1)
     out: list[list[np.ndarray]] = []
 
@@ -307,17 +310,17 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int, similarity: float |
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
 
 
-def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK, similarity: float | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK, row: float = 4.0, similarity: float | None = None) -> DataFrame:
     """Links a, b whose components are those of all pairs within distance bits, for distinct fingerprints (column fp).
 
     With a similarity, rows have the columns CARRIED too (node: their distinct
     numbers, which a and b then are), and pairs count whose sketches tell as much.
 
-    parts bits widths of at most 24 are tabulated exactly (parts * 2^width
-    counts), which is what the driver gets and broadcasts: under 64 MB whatever
-    the input.
+    Part values are counted exactly (parts * 2^width counts, of at most 22 bits),
+    which is what the driver gets and broadcasts: under 64 MB whatever the input.
+    A probe is weighed as much as `row` candidate pairs.
     """
-    if not 3 <= parts <= 8 or distance - parts + 1 < -parts or distance - parts + 1 > parts * _MOST:
+    if not 3 <= parts <= 8 or not -parts <= distance - parts + 1 <= parts * _MOST:
         raise ValueError("3 to 8 parts, with a sum of thresholds within -parts and 2 * parts")
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +361,7 @@ def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK,
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
             own = [c.to_numpy().view(np.uint64) for c in batch.columns]
-            for cols in _meetings(own[0], own[min(1, len(own) - 1)], *shared.value, distance, block):
+            for cols in _meetings(own[0], own[min(1, len(own) - 1)], *shared.value, distance, row, block):
                 if len(cols[0]):
                     yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(cols, types, strict=False)), *(pa.array(x[cols[5]].view(np.int64)) for x in own)], names=out.names)
 
@@ -387,7 +390,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distan
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, seed: int = 42, distance: int = 5, parts: int = 4, block: int = BLOCK, text_col: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, seed: int = 42, distance: int = 5, parts: int = 5, block: int = 4 * BLOCK, text_col: str = "text") -> DataFrame:
     """Rows of keys and component (a number), one for each row of docs: equal for texts that a chain of similar ones joins.
 
     Two texts are similar if the Jaccard similarity of their word shingles is
@@ -411,7 +414,7 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
 
     rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out).withColumn("node", F.xxhash64(*prints)))
     classes = checkpoint(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in prints)))
-    found = [links(classes.select(F.col(f"p{i}").alias("fp"), *CARRIED), distance, parts=parts, block=block, similarity=similarity - slack) for i in range(PRINTS)]
+    found = [links(classes.select(F.col(f"p{i}").alias("fp"), *CARRIED), distance, parts=parts, block=block, row=_WIDE_ROW, similarity=similarity - slack) for i in range(PRINTS)]
     both = found[0]
     for x in found[1:]:
         both = both.unionByName(x)
