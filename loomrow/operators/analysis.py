@@ -26,16 +26,17 @@ def transactions(placed: DataFrame) -> DataFrame:
 
 
 def read_counts(placed: DataFrame) -> DataFrame:
-    """tx, part, n, reached: reads by owner, and the place (seq, tbl, k) of the read that brought the count there."""
-    return reads(placed).groupBy("tx", "part").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("seq", "tbl", "k")).alias("reached"))
+    """tx, part, n, reached: reads by owner, and the place (seq, tbl, k) of the read that brought the count there; null without reads."""
+    read = F.expr("op = 'R' and not replicated")
+    return placed.groupBy("tx", "part").agg(F.count(F.when(read, 1)).alias("n"), F.max(F.when(read, F.struct("seq", "tbl", "k"))).alias("reached"))
 
 
 def most_reads_node(placed: DataFrame) -> DataFrame:
     """tx, node, n_local, n_remote: the owner of most reads; of equals the one whose count was reached first, node 0 without reads."""
-    best = read_counts(placed).groupBy("tx").agg(F.min_by(F.struct("part", "n"), F.struct(-F.col("n"), "reached")).alias("best"), F.sum("n").alias("total"))
-    joined = transactions(placed).join(best, "tx", "left")
+    order = F.when(F.col("n") > 0, F.struct(-F.col("n"), "reached"))
+    best = read_counts(placed).groupBy("tx").agg(F.min_by(F.struct("part", "n"), order).alias("best"), F.sum("n").alias("total"))
     n = F.coalesce("best.n", F.lit(0)).cast("long")
-    return joined.select("tx", F.coalesce("best.part", F.lit(0)).cast("int").alias("node"), n.alias("n_local"), (F.coalesce("total", F.lit(0)) - n).alias("n_remote"))
+    return best.select("tx", F.coalesce("best.part", F.lit(0)).cast("int").alias("node"), n.alias("n_local"), (F.col("total") - n).alias("n_remote"))
 
 
 def lowest_most_reads_node(counts: DataFrame) -> DataFrame:
