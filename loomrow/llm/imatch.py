@@ -24,6 +24,8 @@ _DIGITS = 8
 _EMPTY = "-" * _DIGITS
 #: Ranges of ids found by quantiles, and documents in each part of a range at the expected size.
 _RANGES, _PART = 128, 250
+#: Parts whose first ids may be broadcast.
+_GUESTS = 200_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -138,8 +140,10 @@ def edited_likeness(docs: DataFrame, lex: DataFrame, *, id_col: str = "doc_id",
     ranges = firsts.groupBy("range").agg(F.min("first").alias("first"))
     # at most _RANGES rows
     follow = ranges.select("range", F.coalesce(F.lead("first").over(Window.orderBy("range")), F.min("first").over(Window.partitionBy())).alias("after"))
-    behind = firsts.withColumn("next", F.lead("first").over(Window.partitionBy("range").orderBy("part"))).join(follow, "range").select("part", F.coalesce("next", "after").alias("first"))
-    guests = base.withColumn("first", id_).join(behind, "first").groupBy("part", "doc_id").agg(F.min("text").alias("text"))
+    behind = checkpoint(firsts.withColumn("next", F.lead("first").over(Window.partitionBy("range").orderBy("part"))).join(follow, "range").select("part", F.coalesce("next", "after").alias("first")))
+    # a row for each part: up to a bound they go to the texts, beyond it the texts are dealt by id
+    asked = F.broadcast(behind) if behind.limit(_GUESTS + 1).count() <= _GUESTS else behind
+    guests = base.withColumn("first", id_).join(asked, "first").groupBy("part", "doc_id").agg(F.min("text").alias("text"))
     rows = placed.select("part", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests.select("part", F.lit(1).alias("guest"), "doc_id", "text"))
     by = Window.partitionBy("part").orderBy("guest", "doc_id", "text")
     n = F.length("text")
