@@ -31,7 +31,7 @@ SCRIPTS = sorted({s for _, s in _RANGES})
 #: A script counts as one of a language if it has this share of its letters.
 SCRIPT_SHARE = 0.001
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 @cache
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = (), switch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(shared.value, switch, scale)
-        most = max(1, 12_000_000 // max(1, len(lab.model["langs"])))
+        most = max(1, 3_000_000 // max(1, len(lab.model["langs"])))
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             low = 0

@@ -24,7 +24,7 @@ from loomrow.llm._shared import text_or_empty
 #: Pieces that one group packs, at the expected size.
 GROUP_PIECES = 1024
 #: Words whose ids a worker keeps; the cache starts anew beyond that.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Words encoded in one call, each followed by a mark.
 _RUN = 512
 
