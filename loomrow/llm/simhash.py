@@ -30,8 +30,6 @@ BLOCK = 2048
 _PAIRS = 1 << 20
 #: Flips of a part value that a probe can take at most.
 _MOST = 2
-#: Candidate pairs that cost as much to verify as one wide row to move: nanoseconds against microseconds.
-_WIDE_ROW = 1000.0
 
 
 def fingerprint(text: str, shingle: int, seed: int) -> int:
@@ -65,8 +63,11 @@ def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, out)
 
 
-#: Words of 64 bits in a shingle sketch, and fingerprints that candidates are searched by.
-SKETCH, PRINTS = 4, 3
+#: Words of 64 bits in a shingle sketch; minwise prints that candidates are searched by, and least hashes in each.
+#: At similarity j a pair shares no print with probability (1 - j^LEAST)^PRINTS: 0.0004 at 0.8.
+SKETCH, PRINTS, LEAST = 4, 20, 5
+#: Odd factors that order hashes anew, one for each bit of a sketch.
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64 * SKETCH, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
 def _again(h: np.ndarray, turn: int) -> np.ndarray:
@@ -76,27 +77,26 @@ def _again(h: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _majority(h: np.ndarray) -> int:
-    counts = np.zeros(BITS, np.int64)
-    for low in range(0, len(h), 32768):
-        counts += np.unpackbits(h[low : low + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """The distinct XXH64 of a text's shingles, sorted; none without words."""
+    from xxhash import xxh64_intdigest
 
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.append(0, ends[:-1])[: max(1, len(words) - shingle + 1)].tolist()
+    ends = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
+    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
 
-def shingle_sketch(h: np.ndarray) -> np.ndarray:
-    """One bit of the least hash in each of 256 ranges; equal bits tell the Jaccard similarity of the sets hashed.
 
-    An empty range takes the least hash of the next one that isn't, mixed with how far that is.
-    """
-    n = 64 * SKETCH
-    h = np.sort(h)
-    at = (h >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    there, least = at[first], h[first]
-    nearest = np.searchsorted(there, np.arange(n)) % len(there)
-    away = (there[nearest] - np.arange(n)) % n
-    bit = _again(least[nearest] + away.astype(np.uint64), 1) >> np.uint64(63)
-    return np.packbits(bit.astype(np.uint8), bitorder="little").view(np.uint64)
+def least_hashes(h: np.ndarray) -> np.ndarray:
+    """The least of the hashes in each of 256 orders; two sets have equal ones as often as their Jaccard similarity."""
+    least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
+    for low in range(0, len(h), 2048):
+        np.minimum(least, (_FACTORS[:, None] * h[low : low + 2048]).min(axis=1), out=least)
+    return least
 
 
 def likeness(differ: np.ndarray | int) -> np.ndarray | float:
@@ -105,23 +105,19 @@ def likeness(differ: np.ndarray | int) -> np.ndarray | float:
 
 
 def word_prints(text: str, shingle: int, seed: int) -> np.ndarray:
-    """PRINTS fingerprints of the distinct words, then the sketch of the shingles; zeros without words.
+    """PRINTS minwise prints of the word shingles, then their sketch, one bit of each least hash; zeros without words."""
+    return _prints(shingle_hashes(text, shingle, seed))
 
-    An edit changes `shingle` times as many shingles as words: the fingerprints
-    of words find similar texts within few bits, the sketch tells how similar.
-    """
-    from xxhash import xxh64_intdigest
 
-    words = text.encode().lower().split()
-    if not words:
+def _prints(h: np.ndarray) -> np.ndarray:
+    if not len(h):
         return np.zeros(PRINTS + SKETCH, np.uint64)
-    w = np.array([xxh64_intdigest(x, seed) for x in set(words)], np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.append(0, ends[:-1])[: max(1, len(words) - shingle + 1)].tolist()
-    ends = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-    h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)], np.uint64)
-    return np.concatenate([np.array([_majority(_again(w, i)) for i in range(PRINTS)], np.uint64), shingle_sketch(h)])
+    least = least_hashes(h)
+    prints = np.arange(PRINTS, dtype=np.uint64)
+    for i in range(LEAST):
+        prints = _again(prints + least[i * PRINTS : (i + 1) * PRINTS], 2)
+    bit = _again(least, 1) >> np.uint64(63)
+    return np.concatenate([prints, np.packbits(bit.astype(np.uint8), bitorder="little").view(np.uint64)])
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -199,8 +195,8 @@ def _spread(fps: np.ndarray, turn: int) -> np.ndarray:
 
 
 MEETINGS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("data_block", T.IntegerType()), T.StructField("probe_block", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("fp", T.LongType())])
-#: What else a row carries where fingerprints don't name the nodes and sketches decide.
-CARRIED = ("node", *(f"s{i}" for i in range(SKETCH)))
+#: Columns of a sketch.
+SKETCHED = tuple(f"s{i}" for i in range(SKETCH))
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -242,18 +238,14 @@ def _meetings(fps: np.ndarray, nodes: np.ndarray, parts: list[list[int]], near:
     return out
 
 
-def verify(batches: Iterator[pa.RecordBatch], distance: int, similarity: float | None = None) -> Iterator[pa.RecordBatch]:
-    """Links among rows sorted by all of MEETINGS but role and fp; a block goes on over batches.
-
-    With a similarity, rows have the columns CARRIED too, and sketches must tell as much.
-    """
+def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Links among rows sorted by all of MEETINGS but role and fp; a block goes on over batches."""
     rest: tuple[np.ndarray, ...] | None = None
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
 
-    def pairs(key: np.ndarray, role: np.ndarray, fps: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        datas, probes = [x[role & 1 > 0] for x in fps], [x[role & 2 > 0] for x in fps]
-        data, probe = datas[0], probes[0]
+    def pairs(key: np.ndarray, role: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        data, probe = fps[role & 1 > 0], fps[role & 2 > 0]
         blocks = key[-1] + 1
         n = np.bincount(key[role & 1 > 0], minlength=blocks)
         first = np.cumsum(n) - n
@@ -267,13 +259,9 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int, similarity: float |
             each = np.repeat(np.arange(low, high), c)
             at = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c) + begin[each]
             near = np.flatnonzero(np.bitwise_count(probe[each] ^ data[at]) <= distance)
-            each, at = each[near], at[near]
-            a, b = (x[min(1, len(fps) - 1)] for x in (probes, datas))
-            apart = a[each] != b[at]
-            if similarity is not None:
-                differ = sum(np.bitwise_count(x[each] ^ y[at]).astype(np.int64) for x, y in zip(probes[2:], datas[2:], strict=True))
-                apart &= likeness(differ) >= similarity
-            yield a[each[apart]], b[at[apart]]
+            a, b = probe[each[near]], data[at[near]]
+            apart = a != b
+            yield a[apart], b[apart]
             low = high
 
     def links(cols: tuple[np.ndarray, ...]) -> None:
@@ -281,7 +269,7 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int, similarity: float |
         change = np.zeros(len(cols[0]), bool)
         for c in cols[:4]:
             change[1:] |= c[1:] != c[:-1]
-        for a, b in pairs(np.cumsum(change), cols[4], cols[5:]):
+        for a, b in pairs(np.cumsum(change), cols[4], cols[5]):
             if len(a):
                 kept.append(forest(a.view(np.int64), b.view(np.int64)))
                 held += len(kept[-1][0])
@@ -310,12 +298,9 @@ def verify(batches: Iterator[pa.RecordBatch], distance: int, similarity: float |
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
 
 
-def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK, row: float = 4.0, similarity: float | None = None) -> DataFrame:
+def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK, row: float = 4.0) -> DataFrame:
     """Links a, b whose components are those of all pairs within distance bits, for distinct fingerprints (column fp).
 
-    With a similarity, rows have the columns CARRIED too (node: their distinct
-    numbers, which a and b then are), and pairs count whose sketches tell as much.
-
     Part values are counted exactly (parts * 2^width counts, of at most 22 bits),
     which is what the driver gets and broadcasts: under 64 MB whatever the input.
     A probe is weighed as much as `row` candidate pairs.
@@ -354,20 +339,17 @@ def links(fps: DataFrame, distance: int, *, parts: int = 4, block: int = BLOCK,
         near.append(within(n, len(p)))
     shared = fps.sparkSession.sparkContext.broadcast((grouped, near))
 
-    carried = CARRIED if similarity is not None else ()
-    out = T.StructType([*MEETINGS.fields, *(T.StructField(c, T.LongType()) for c in carried)])
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
-            own = [c.to_numpy().view(np.uint64) for c in batch.columns]
-            for cols in _meetings(own[0], own[min(1, len(own) - 1)], *shared.value, distance, row, block):
+            own = batch.column(0).to_numpy().view(np.uint64)
+            for cols in _meetings(own, own, *shared.value, distance, row, block):
                 if len(cols[0]):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(cols, types, strict=False)), *(pa.array(x[cols[5]].view(np.int64)) for x in own)], names=out.names)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(cols, types, strict=False)), pa.array(own[cols[5]].view(np.int64))], names=MEETINGS.names)
 
     key = MEETINGS.names[:4]
-    met = fps.select("fp", *carried).mapInArrow(meet, out).repartition(parallelism(fps.sparkSession), *key).sortWithinPartitions(*key)
-    return met.mapInArrow(lambda batches: verify(batches, distance, similarity), LINKS)
+    met = fps.select("fp").mapInArrow(meet, MEETINGS).repartition(parallelism(fps.sparkSession), *key).sortWithinPartitions(*key)
+    return met.mapInArrow(lambda batches: verify(batches, distance), LINKS)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distance: int = 4, parts: int = 4, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,35 +372,61 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distan
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, seed: int = 42, distance: int = 5, parts: int = 5, block: int = 4 * BLOCK, text_col: str = "text") -> DataFrame:
+def _alike(a: str, b: str, similarity: float):
+    """Whether the sketches of two sides of a join tell as much."""
+    differ = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCHED)
+    return differ <= math.floor((1 - similarity) * 32 * SKETCH + 1e-9)
+
+
+def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, seed: int = 42, text_col: str = "text") -> DataFrame:
     """Rows of keys and component (a number), one for each row of docs: equal for texts that a chain of similar ones joins.
 
     Two texts are similar if the Jaccard similarity of their word shingles is
     `similarity` or more, as sketches of 256 bits tell it (standard error 0.04
     at 0.8; slack is taken off, so that few such pairs are missed). Candidates
-    are texts with a fingerprint of their distinct words within `distance` bits,
-    by either of PRINTS fingerprints. Texts that are alike in all of these are
-    one class before anything is linked.
+    are texts with a common minwise print, whatever the edit: of pairs at 0.8
+    they miss 0.0004. Texts with the same shingles are one class before anything
+    is linked.
+
+    Each class is first linked to the least one that it meets. Only classes
+    that are still apart then meet in pairs, so that a large group of near
+    copies costs no pairs of its own.
 
     Texts shorter than a shingle have the whole sequence as their one; null,
     empty and blank texts are one class. Null keys and repeated rows stay, whole
     texts count, other columns are ignored, no rows give none.
     """
-    prints = [*(f"p{i}" for i in range(PRINTS)), *CARRIED[1:]]
-    out = T.StructType([*(docs.schema[c] for c in keys), *(T.StructField(c, T.LongType()) for c in prints)])
+    prints = [*(f"p{i}" for i in range(PRINTS)), *SKETCHED]
+    out = T.StructType([*(docs.schema[c] for c in keys), *(T.StructField(c, T.LongType()) for c in ("node", *prints))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
-            found = np.array([word_prints(x.as_py(), shingle, seed) for x in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
+            sets = [shingle_hashes(x.as_py(), shingle, seed) for x in batch.column(batch.num_columns - 1)]
+            found = np.array([[xxh64_intdigest(h.tobytes(), seed), *_prints(h)] for h in sets], np.uint64).reshape(-1, len(prints) + 1).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=out.names)
 
-    rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out).withColumn("node", F.xxhash64(*prints)))
-    classes = checkpoint(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in prints)))
-    found = [links(classes.select(F.col(f"p{i}").alias("fp"), *CARRIED), distance, parts=parts, block=block, row=_WIDE_ROW, similarity=similarity - slack) for i in range(PRINTS)]
-    both = found[0]
-    for x in found[1:]:
-        both = both.unionByName(x)
-    return rows.join(components(both), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
+    rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out))
+    classes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in prints))
+    classes = checkpoint(classes.select("node", *SKETCHED, F.array(*prints[:PRINTS]).alias("prints")))
+    met = classes.select(F.explode("prints").alias("print"), "node", *SKETCHED)
+    firsts = met.groupBy("print").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("print", "head")
+    met = checkpoint(met.join(firsts, "print"))
+    near = _alike("x", "y", similarity - slack)
+
+    heads = met.filter("node = head").drop("head")
+    pairs = met.filter("node <> head").alias("x").join(heads.alias("y"), (F.col("x.print") == F.col("y.print")) & near)
+    first = checkpoint(pairs.groupBy(F.col("x.node").alias("a")).agg(F.min("y.node").alias("b")))
+
+    roots = checkpoint(components(first))
+    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = checkpoint(rooted.join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("head_root", F.coalesce("head_root", "head")))
+    apart = (F.col("x.print") == F.col("y.print")) & (F.col("x.root") != F.col("y.root")) & near
+    pairs = rooted.filter("root <> head_root").alias("x").join(rooted.alias("y"), apart)
+    second = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    linked = first.unionByName(second)
+    return rows.join(components(linked), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

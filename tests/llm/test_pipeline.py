@@ -60,6 +60,40 @@ def test_near_copies_against_brute_force(spark):
     assert got[0].component == "x" and simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def pairs_of(kind, low, high, n, seed):
+    """Rows of n text pairs (ids 2 i, 2 i + 1) whose Jaccard similarity lies within low and high, and the similarities."""
+    rng = random.Random(seed)
+    rows, likes = [], []
+    while len(likes) < n:
+        m = rng.randrange(40, 300)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(m)]
+        if kind == "truncated":
+            other = base[: rng.randrange(m // 2, m)]
+        elif kind == "appended":
+            other = base + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, m // 2))]
+        else:
+            other = [w if rng.random() > 0.05 else f"w{rng.randrange(10**6)}" for w in base]
+        j = jaccard(shingles(" ".join(base)), shingles(" ".join(other)))
+        if low <= j < high:
+            rows += [(2 * len(likes), " ".join(base)), (2 * len(likes) + 1, " ".join(other))]
+            likes.append(j)
+    return rows, likes
+
+
+def test_copies_cut_or_appended_are_found(spark):
+    rows, likes = [], []
+    for k, (kind, low) in enumerate((kind, low) for kind in ("truncated", "appended", "scattered") for low in (0.8, 0.85, 0.9)):
+        found, j = pairs_of(kind, low, low + 0.05, 60, k)
+        rows += [(i + 2 * len(likes), t) for i, t in found]
+        likes += j
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component for r in simhash.similar_classes(df, keys=("doc_id",)).collect()}
+    linked = [got[2 * i] == got[2 * i + 1] for i in range(len(likes))]
+    for k in range(9):
+        assert sum(linked[60 * k : 60 * k + 60]) >= 48, (k, sum(linked[60 * k : 60 * k + 60]))
+    assert len(set(got.values())) == len(rows) - sum(linked)
+
+
 def test_stages(spark, tmp_path):
     rows, groups = corpus(7)
     odd = [(500, "1234 !! 55", "en", "s", 10), (501, None, "en", "s", None), (502, "", None, "s", 0), (503, rows[3][1] + " write to jane@example.com now", None, None, None), (504, "the only words of another text 10.1.2.3 stay", "en", "s", 1)]
