@@ -66,6 +66,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: s
 #: Words of 64 bits in a shingle sketch; minwise prints that candidates are searched by, and least hashes in each.
 #: At similarity j a pair shares no print with probability (1 - j^LEAST)^PRINTS: 0.0004 at 0.8.
 SKETCH, PRINTS, LEAST = 4, 20, 5
+#: Sets of shingles handed on at once.
+_SETS = 500
 #: Odd factors that order hashes anew, one for each bit of a sketch.
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64 * SKETCH, np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -94,8 +96,8 @@ def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
 def least_hashes(h: np.ndarray) -> np.ndarray:
     """The least of the hashes in each of 256 orders; two sets have equal ones as often as their Jaccard similarity."""
     least = np.full(len(_FACTORS), (1 << 64) - 1, np.uint64)
-    for low in range(0, len(h), 2048):
-        np.minimum(least, (_FACTORS[:, None] * h[low : low + 2048]).min(axis=1), out=least)
+    for low in range(0, len(h), 512):
+        np.minimum(least, (_FACTORS[:, None] * h[low : low + 512]).min(axis=1), out=least)
     return least
 
 
@@ -372,25 +374,50 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distan
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, keys: tuple[str, ...], shingle: int, similarity: float, seed: int, text_col: str) -> DataFrame:
+    """Those of pairs (a, b: nodes) whose sets of shingles have the Jaccard similarity, or more.
+
+    Only the texts of these nodes are moved, one for each.
+    """
+    of = [f"key {i}" for i in range(len(keys))]
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*keys)).alias("k")).select("node", *(F.col("k")[c].alias(n) for c, n in zip(keys, of, strict=True)))
+    texts = docs.select(*(F.col(c).alias(f"own {n}") for c, n in zip(keys, of, strict=True)), text_or_empty(text_col).alias("text"))
+    same = [F.col(n).eqNullSafe(F.col(f"own {n}")) for n in of]
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, _SETS):
+                batch = whole.slice(low, _SETS)
+                found = [shingle_hashes(x.as_py(), shingle, seed).view(np.int64) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+
+    # rows with the same keys have the same set
+    known = checkpoint(texts.join(named, same).select("node", "text").mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]))
+    both = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= (similarity - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
 def _alike(a: str, b: str, similarity: float):
     """Whether the sketches of two sides of a join tell as much."""
     differ = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCHED)
     return differ <= math.floor((1 - similarity) * 32 * SKETCH + 1e-9)
 
 
-def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.04, seed: int = 42, text_col: str = "text") -> DataFrame:
+def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.14, seed: int = 42, text_col: str = "text") -> DataFrame:
     """Rows of keys and component (a number), one for each row of docs: equal for texts that a chain of similar ones joins.
 
     Two texts are similar if the Jaccard similarity of their word shingles is
-    `similarity` or more, as sketches of 256 bits tell it (standard error 0.04
-    at 0.8; slack is taken off, so that few such pairs are missed). Candidates
-    are texts with a common minwise print, whatever the edit: of pairs at 0.8
-    they miss 0.0004. Texts with the same shingles are one class before anything
-    is linked.
+    `similarity` or more, by the sets themselves. Candidates are texts with a
+    common minwise print, whatever the edit: of pairs at 0.8 they miss 0.0004.
+    Sketches of 256 bits keep out the pairs that are far below (standard error
+    0.04 at 0.8; `slack` below it, which 0.0003 of the pairs at 0.8 don't reach).
+    Texts with the same shingles are one class before anything is linked.
 
-    Each class is first linked to the least one that it meets. Only classes
-    that are still apart then meet in pairs, so that a large group of near
-    copies costs no pairs of its own.
+    Each class is first compared with the least one that it meets. Only classes
+    that are still apart then meet in pairs, all of them, so that a large group
+    of near copies costs no pairs of its own and no link is taken for another.
 
     Texts shorter than a shingle have the whole sequence as their one; null,
     empty and blank texts are one class. Null keys and repeated rows stay, whole
@@ -403,9 +430,11 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            sets = [shingle_hashes(x.as_py(), shingle, seed) for x in batch.column(batch.num_columns - 1)]
-            found = np.array([[xxh64_intdigest(h.tobytes(), seed), *_prints(h)] for h in sets], np.uint64).reshape(-1, len(prints) + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in found.T)], names=out.names)
+            found = np.empty((len(prints) + 1, batch.num_rows), np.uint64)
+            for i, x in enumerate(batch.column(batch.num_columns - 1)):
+                h = shingle_hashes(x.as_py(), shingle, seed)
+                found[0, i], found[1:, i] = xxh64_intdigest(h.tobytes(), seed), _prints(h)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in found.view(np.int64))], names=out.names)
 
     rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out))
     classes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in prints))
@@ -418,14 +447,18 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
     heads = met.filter("node = head").drop("head")
     pairs = met.filter("node <> head").alias("x").join(heads.alias("y"), (F.col("x.print") == F.col("y.print")) & near)
     first = checkpoint(pairs.groupBy(F.col("x.node").alias("a")).agg(F.min("y.node").alias("b")))
+    confirmed = lambda df: checkpoint(_confirmed(df, rows, docs, keys, shingle, similarity, seed, text_col))
+    linked = confirmed(first)
 
-    roots = checkpoint(components(first))
+    roots = checkpoint(components(linked))
     rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = checkpoint(rooted.join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("head_root", F.coalesce("head_root", "head")))
     apart = (F.col("x.print") == F.col("y.print")) & (F.col("x.root") != F.col("y.root")) & near
     pairs = rooted.filter("root <> head_root").alias("x").join(rooted.alias("y"), apart)
     second = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    linked = first.unionByName(second)
+    second = checkpoint(second.join(first, ["a", "b"], "left_anti"))
+    if not second.isEmpty():
+        linked = linked.unionByName(confirmed(second))
     return rows.join(components(linked), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
 
 
