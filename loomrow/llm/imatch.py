@@ -20,6 +20,8 @@ LOW, HIGH = 0.001, 0.05
 LEXICON = 1 << 20
 #: One subset for each: 2^-e of the lexicon.
 EXPONENTS = (0, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8, 9)
+#: Documents with fewer lexicon terms are known by subsets of all their terms.
+FEW = 16
 _DIGITS = 8
 _EMPTY = "-" * _DIGITS
 #: Ranges of ids found by quantiles, and documents in each part of a range at the expected size.
@@ -34,14 +36,24 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = LEXICON) -> DataFrame:
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = LEXICON, by_class: bool = False) -> DataFrame:
     """Rows h: terms found in a share of at least low and at most high of all rows.
 
+    By class, a group of copies counts as one row, the one with the least terms:
+    texts are of a class that have the least term in each of three orders in common.
+
     A share of low is reached by at most (mean distinct terms) / low terms,
     whatever the number of documents; low doubles until no more than most are left.
     """
-    n = docs.count()
-    counts = docs.select(F.explode(term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    sets = docs.select(term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hs"))
+    if by_class:
+        order = lambda i: F.array_min(F.transform("hs", lambda h: F.xxhash64(h, F.lit(i))))
+        sets = sets.select(F.xxhash64(*map(order, range(3))).alias("class"), F.array_sort("hs").alias("hs"))
+        n = sets.select("class").distinct().count()
+        sets = sets.groupBy("class").agg(F.min("hs").alias("hs"))
+    else:
+        n = docs.count()
+    counts = sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     found = checkpoint(counts.filter(F.col("df").between(low * n, high * n)))
     while found.count() > most:
         low *= 2
@@ -55,10 +67,10 @@ def _member(s: int, h: Column) -> Column:
     return bits == F.lit((0x9E3779B9 >> s % 16) & (1 << e) - 1).cast("long")
 
 
-def subset_hashes(terms: Column, whole: Column) -> Column:
+def subset_hashes(terms: Column, otherwise: Column, least: int = 1) -> Column:
     """Hash of each subset's terms, dashes where there are none; terms are sorted lexicon hashes.
 
-    A text without lexicon terms has the hash of all its terms everywhere.
+    A text with fewer than `least` lexicon terms has `otherwise`.
     """
     digits = lambda x: F.substr(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit(1), F.lit(_DIGITS))
 
@@ -66,7 +78,14 @@ def subset_hashes(terms: Column, whole: Column) -> Column:
         kept = F.filter(terms, lambda h: _member(s, h)) if EXPONENTS[s] else terms
         return F.when(F.size(kept) > 0, digits(F.xxhash64(kept))).otherwise(_EMPTY)
 
-    return F.when(F.size(terms) > 0, F.array(*(one(s) for s in range(len(EXPONENTS))))).otherwise(F.array_repeat(digits(whole), len(EXPONENTS)))
+    return F.when(F.size(terms) >= least, F.array(*(one(s) for s in range(len(EXPONENTS))))).otherwise(otherwise)
+
+
+def _own(hashes: Column, few: int) -> Column:
+    """What stands for a text with few lexicon terms: subsets of all its terms, or with few = 0 their one hash everywhere."""
+    every = F.array_sort(hashes)
+    whole = F.array_repeat(F.substr(F.lower(F.lpad(F.hex(F.xxhash64(every)), 16, "0")), F.lit(1), F.lit(_DIGITS)), len(EXPONENTS))
+    return subset_hashes(every, whole) if few else whole
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,17 +112,21 @@ def _with_terms(rows: DataFrame, lex: DataFrame, keys: list[str], columns: dict[
     return hit.groupBy(*keys).agg(*head, *lists).select(*keys, "head.*", *columns)
 
 
-def fingerprints(docs: DataFrame, lex: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, lex: DataFrame, *, few: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, hashes (one for each subset), one for each row of docs.
 
+    A text with fewer than `few` lexicon terms has the subsets of all its terms:
+    terms of a large group of copies are too common for the lexicon. With few = 0
+    a text without any has the hash of all its terms everywhere.
+
     Equal texts have equal hashes. Null, empty and blank texts are alike, without
     terms. Null ids and repeated rows stay; whole texts count, however long;
     other columns are ignored, whatever their names; no rows give none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hs"))
-    rows = rows.select("doc_id", "hs", F.xxhash64(F.array_sort("hs")).alias("whole"))
+    rows = rows.select("doc_id", "hs", _own(F.col("hs"), few).alias("own"))
     kept = rows.withColumn("row", F.monotonically_increasing_id())
-    return _with_terms(kept, lex, ["row"], {"terms": "hs"}).select("doc_id", subset_hashes(F.col("terms"), F.col("whole")).alias("hashes"))
+    return _with_terms(kept, lex, ["row"], {"terms": "hs"}).select("doc_id", subset_hashes(F.col("terms"), F.col("own"), max(1, few)).alias("hashes"))
 
 
 def _parts(docs: DataFrame) -> DataFrame:
@@ -121,7 +144,7 @@ def _parts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("range", at).withColumn("part", F.col("range") * F.lit(sub).cast("long") + inner)
 
 
-def edited_likeness(docs: DataFrame, lex: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_likeness(docs: DataFrame, lex: DataFrame, *, few: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, n_chars, edited, hashes, edited_hashes, near_edited, near_next.
 
     The next document is that of the next larger id (equal ids by text; a null
@@ -129,6 +152,8 @@ def edited_likeness(docs: DataFrame, lex: DataFrame, *, id_col: str = "doc_id",
     next. edited is the text with its last floor(n / 2) code points replaced by
     the next text's first as many, or all if fewer.
 
+    `few` is as in fingerprints.
+
     Rows are dealt to parts of the id range with their texts once; each part
     gets the first row of the part behind it as a guest, so every next document
     is at hand.
@@ -150,9 +175,12 @@ def edited_likeness(docs: DataFrame, lex: DataFrame, *, id_col: str = "doc_id",
     rows = rows.select("part", "guest", "doc_id", "text", F.row_number().over(by).alias("place"), F.lead("text").over(by).alias("next"))
     edited = F.when(F.col("guest") == 0, F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substr("next", F.lit(1), F.floor(n / 2).cast("int"))))
     rows = rows.select("part", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), term_hashes(F.col("text")).alias("hs"), term_hashes(edited).alias("es"))
-    whole = lambda c: F.xxhash64(F.array_sort(c))
-    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), whole("hs").alias("whole"), whole("es").alias("edited_whole"), "hs", F.coalesce("es", F.array().cast("array<bigint>")).alias("es"))
+    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _own(F.col("hs"), few).alias("own"), _own(F.col("es"), few).alias("edited_own"), "hs", F.coalesce("es", F.array().cast("array<bigint>")).alias("es"))
     rows = _with_terms(rows, lex, ["part", "place"], {"terms": "hs", "edited_terms": "es"})
-    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", subset_hashes(F.col("terms"), F.col("whole")).alias("hashes"), subset_hashes(F.col("edited_terms"), F.col("edited_whole")).alias("edited_hashes"))
-    rows = rows.withColumn("next_hashes", F.lead("hashes").over(Window.partitionBy("part").orderBy("place"))).filter("guest = 0")
-    return rows.select("doc_id", "n_chars", "edited_sha256", "hashes", "edited_hashes", likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"))
+    lists = [subset_hashes(F.col(t), F.col(o), max(1, few)).alias(h) for t, o, h in (("terms", "own", "hashes"), ("edited_terms", "edited_own", "edited_hashes"))]
+    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "own", "edited_own", (F.size("terms") < few).alias("low"), (F.size("edited_terms") < few).alias("edited_low"), *lists)
+    by = Window.partitionBy("part").orderBy("place")
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("hashes", "own", "low")}).filter("guest = 0")
+    # two texts are compared by all their terms if one has few of the lexicon
+    near = lambda c: F.when(F.col("low") | F.col(f"{c}_low"), likeness(F.col("own"), F.col(f"{c}_own"))).otherwise(likeness(F.col("hashes"), F.col(f"{c}_hashes")))
+    return rows.select("doc_id", "n_chars", "edited_sha256", "hashes", "edited_hashes", near("edited").alias("near_edited"), near("next").alias("near_next"))

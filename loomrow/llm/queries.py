@@ -139,7 +139,7 @@ def op5_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     docs = read(spark, sf_dir, "documents")
     text = lambda c: F.array_join(c, "")
-    near = imatch.edited_likeness(docs, imatch.lexicon(docs))
+    near = imatch.edited_likeness(docs, imatch.lexicon(docs, by_class=True), few=imatch.FEW)
     return near.select("doc_id", "n_chars", "edited_sha256", text("hashes").alias("fingerprint"), text("edited_hashes").alias("edited_fingerprint"), "near_edited", "near_next")
 
 

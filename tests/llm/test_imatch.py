@@ -91,3 +91,22 @@ def test_edits_are_nearer_than_neighbours(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = imatch.edited_likeness(docs, imatch.lexicon(docs)).agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n"), F.avg((F.col("near_edited") > F.col("near_next")).cast("int")).alias("more")).first()
     assert got.e > 4 * got.n and got.more > 0.8, got
+
+
+def test_copies_that_hold_a_third_of_the_rows_stay_alike(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(20_000)]
+    hot = rng.sample(words, 200)
+    texts = [" ".join(rng.choices(words, k=150)) for _ in range(200)]
+    for i in range(100):
+        copy = list(hot)
+        copy[rng.randrange(200)] = f"changed{i}"
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = imatch.lexicon(df, by_class=True)
+    found = {r.doc_id: r.hashes for r in imatch.fingerprints(df, lex, few=imatch.FEW).collect()}
+    likes = [alike(found[200], found[i]) for i in range(201, 300)]
+    assert sum(likes) / len(likes) > 0.6 and min(likes) > 0.3, likes
+    assert max(alike(found[200], found[i]) for i in range(200)) < 0.3
+    near = imatch.edited_likeness(df, lex, few=imatch.FEW).filter("doc_id between 200 and 298").agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
+    assert near.n > 0.6 and near.e > 0.15, near  # the edit takes half the terms of a copy before a copy
