@@ -32,18 +32,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: each node passes its least
     neighbour to its larger ones, then to its smaller ones, until nothing
-    changes. Every step is a join and an aggregate by node, so a hub's links are
-    spread and pre-aggregated; each is written to the shared folder.
+    changes. Every step is an aggregate by node, combined before the shuffle,
+    and a join with what it gives. That is written to the shared folder first:
+    both sides of the join are then dealt for the join alone, so that adaptive
+    execution can split a hub's links. No links give no rows.
     """
     size = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     now = checkpoint(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = size(now)
     while was[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        least = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # in large every a has larger number than b
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now = checkpoint(small)
         if (size_now := size(now)) == was:

@@ -32,23 +32,31 @@ _PAIRS = 1 << 20
 _MOST = 2
 
 
-def fingerprint(text: str, shingle: int, seed: int) -> int:
-    """The bits set in over half the shingles' XXH64; A-Z in lower case, words between ASCII white space."""
+def raw_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's shingles in their order, repeats included; A-Z in lower case, words between ASCII white space."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = (np.concatenate([[0], ends[:-1]]))[:n].tolist()
+    starts = np.append(0, ends[:-1])[: max(1, len(words) - shingle + 1)].tolist()
     ends = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero without any."""
     counts = np.zeros(BITS, np.int64)
-    for low in range(0, n, 32768):
-        h = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[low : low + 32768], ends[low : low + 32768], strict=True)], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    for low in range(0, len(h), 32768):
+        counts += np.unpackbits(h[low : low + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str, shingle: int, seed: int) -> int:
+    """The SimHash of a text's shingles."""
+    return majority(raw_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,8 +74,8 @@ def fingerprints(docs: DataFrame, *, shingle: int = 5, seed: int = 42, id_col: s
 #: Words of 64 bits in a shingle sketch; minwise prints that candidates are searched by, and least hashes in each.
 #: At similarity j a pair shares no print with probability (1 - j^LEAST)^PRINTS: 0.0004 at 0.8.
 SKETCH, PRINTS, LEAST = 4, 20, 5
-#: Sets of shingles handed on at once.
-_SETS = 500
+#: Sets of shingles handed on at once, and their hashes that meet in one cell at the expected size.
+_SETS, _ELEMENTS = 500, 1 << 20
 #: Odd factors that order hashes anew, one for each bit of a sketch.
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64 * SKETCH, np.uint64) << np.uint64(1) | np.uint64(1)
 
@@ -81,16 +89,7 @@ def _again(h: np.ndarray, turn: int) -> np.ndarray:
 
 def shingle_hashes(text: str, shingle: int, seed: int) -> np.ndarray:
     """The distinct XXH64 of a text's shingles, sorted; none without words."""
-    from xxhash import xxh64_intdigest
-
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.append(0, ends[:-1])[: max(1, len(words) - shingle + 1)].tolist()
-    ends = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    return np.unique(raw_hashes(text, shingle, seed))
 
 
 def least_hashes(h: np.ndarray) -> np.ndarray:
@@ -197,8 +196,6 @@ def _spread(fps: np.ndarray, turn: int) -> np.ndarray:
 
 
 MEETINGS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("value", T.LongType()), T.StructField("data_block", T.IntegerType()), T.StructField("probe_block", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("fp", T.LongType())])
-#: Columns of a sketch.
-SKETCHED = tuple(f"s{i}" for i in range(SKETCH))
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -240,61 +237,70 @@ def _meetings(fps: np.ndarray, nodes: np.ndarray, parts: list[list[int]], near:
     return out
 
 
+def _meetings_of(key: np.ndarray, role: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of every probe (role 2 or 3) with every data row (1 or 3) of its key; keys are ascending from 0."""
+    at_data, at_probe = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    n = np.bincount(key[at_data], minlength=key[-1] + 1)
+    of = key[at_probe]
+    count, begin = n[of], (np.cumsum(n) - n)[of]
+    end = np.cumsum(count)
+    low = 0
+    while low < len(at_probe):
+        high = max(low + 1, int(np.searchsorted(end, (end[low - 1] if low else 0) + _PAIRS, "right")))
+        c = count[low:high]
+        each = np.repeat(np.arange(low, high), c)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c) + begin[each]
+        yield at_probe[each], at_data[at]
+        low = high
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by their first columns (integers) in runs of whole keys, with the number of each row's key in its run."""
+    rest: list[pa.RecordBatch] = []
+
+    def change(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+        cols = [c.to_numpy() for c in batch.columns[:keys]]
+        return np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+
+    def run() -> tuple[np.ndarray, pa.Table]:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        key = np.zeros(table.num_rows, np.intp)
+        key[change(table)] = 1
+        return np.cumsum(key), table
+
+    last = lambda batch, i: [c[i].as_py() for c in batch.columns[:keys]]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = change(batch)
+        same = not rest or last(rest[-1], -1) == last(batch, 0)
+        if same and not len(cuts):
+            rest.append(batch)
+            continue
+        cut = int(cuts[-1]) if len(cuts) else 0  # the last key goes on
+        if cut:
+            rest.append(batch.slice(0, cut))
+        yield run()
+        rest = [batch.slice(cut)]
+    if rest:
+        yield run()
+
+
 def verify(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """Links among rows sorted by all of MEETINGS but role and fp; a block goes on over batches."""
-    rest: tuple[np.ndarray, ...] | None = None
     kept: list[tuple[np.ndarray, np.ndarray]] = []
     held = 0
-
-    def pairs(key: np.ndarray, role: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        data, probe = fps[role & 1 > 0], fps[role & 2 > 0]
-        blocks = key[-1] + 1
-        n = np.bincount(key[role & 1 > 0], minlength=blocks)
-        first = np.cumsum(n) - n
-        of = key[role & 2 > 0]
-        count, begin = n[of], first[of]
-        end = np.cumsum(count)
-        low = 0
-        while low < len(probe):
-            high = max(low + 1, int(np.searchsorted(end, (end[low - 1] if low else 0) + _PAIRS, "right")))
-            c = count[low:high]
-            each = np.repeat(np.arange(low, high), c)
-            at = np.arange(len(each)) - np.repeat(np.cumsum(c) - c, c) + begin[each]
-            near = np.flatnonzero(np.bitwise_count(probe[each] ^ data[at]) <= distance)
-            a, b = probe[each[near]], data[at[near]]
-            apart = a != b
-            yield a[apart], b[apart]
-            low = high
-
-    def links(cols: tuple[np.ndarray, ...]) -> None:
-        nonlocal held, kept
-        change = np.zeros(len(cols[0]), bool)
-        for c in cols[:4]:
-            change[1:] |= c[1:] != c[:-1]
-        for a, b in pairs(np.cumsum(change), cols[4], cols[5]):
-            if len(a):
-                kept.append(forest(a.view(np.int64), b.view(np.int64)))
+    for key, rows in _runs(batches, 4):
+        fps = rows["fp"].to_numpy()
+        for x, y in _meetings_of(key, rows["role"].to_numpy()):
+            a, b = fps[x], fps[y]
+            near = (np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= distance) & (a != b)
+            if near.any():
+                kept.append(forest(a[near], b[near]))
                 held += len(kept[-1][0])
         if held > _PAIRS:
             kept = [forest(*map(np.concatenate, zip(*kept, strict=True)))]
             held = len(kept[0][0])
-
-    for batch in batches:
-        cols = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        cols = (*cols[:5], *(c.view(np.uint64) for c in cols[5:]))
-        if rest is not None:
-            cols = tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
-        if not len(cols[0]):
-            continue
-        last = np.ones(len(cols[0]), bool)
-        for c in cols[:4]:
-            last &= c == c[-1]
-        cut = int(np.argmax(last))
-        rest = tuple(c[cut:] for c in cols)
-        if cut:
-            links(tuple(c[:cut] for c in cols))
-    if rest is not None:
-        links(rest)
     if kept:
         a, b = forest(*map(np.concatenate, zip(*kept, strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
@@ -370,96 +376,222 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, seed: int = 42, distan
     classes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes, distance, parts=parts, block=block))
     rooted = checkpoint(classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written first, so that the join below can split a large component
+    named = checkpoint(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, keys: tuple[str, ...], shingle: int, similarity: float, seed: int, text_col: str) -> DataFrame:
-    """Those of pairs (a, b: nodes) whose sets of shingles have the Jaccard similarity, or more.
+#: What names a cell of rows that are compared with each other.
+CELL = ("bucket", "turn", "data_block", "probe_block")
 
-    Only the texts of these nodes are moved, one for each.
-    """
-    of = [f"key {i}" for i in range(len(keys))]
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min(F.struct(*keys)).alias("k")).select("node", *(F.col("k")[c].alias(n) for c, n in zip(keys, of, strict=True)))
-    texts = docs.select(*(F.col(c).alias(f"own {n}") for c, n in zip(keys, of, strict=True)), text_or_empty(text_col).alias("text"))
-    same = [F.col(n).eqNullSafe(F.col(f"own {n}")) for n in of]
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, whole.num_rows, _SETS):
-                batch = whole.slice(low, _SETS)
-                found = [shingle_hashes(x.as_py(), shingle, seed).view(np.int64) for x in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+def _dealt(met: DataFrame, partitions: int) -> DataFrame:
+    return met.repartition(partitions, *CELL).sortWithinPartitions(*CELL)
 
-    # rows with the same keys have the same set
-    known = checkpoint(texts.join(named, same).select("node", "text").mapInArrow(sets, "node long, set array<long>").dropDuplicates(["node"]))
-    both = pairs.join(known.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= (similarity - 1e-12) * (F.size("x") + F.size("y") - common)).select("a", "b")
 
+def _partners(batches: Iterator[pa.RecordBatch], limit: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of each cell, the rows that have a partner there which the sketches and sizes don't rule out.
+
+    A pair counts in its first common bucket only, and not if it has one root.
+    """
+    slack = similarity * (1 - 1e-9)
+    for key, rows in _runs(batches, len(CELL)):
+        n = rows.num_rows
+        node, root, size, turn = (rows[c].to_numpy() for c in ("node", "root", "size", "turn"))
+        told = np.frombuffer(b"".join(rows["told"].to_pylist()), np.uint64).reshape(n, PRINTS + SKETCH)
+        told = np.concatenate([rows["family"].to_numpy().view(np.uint64)[:, None], told], axis=1)
+        marked = np.zeros(n, bool)
+        for x, y in _meetings_of(key, rows["role"].to_numpy()):
+            open_ = (node[x] != node[y]) & (root[x] != root[y]) & (np.minimum(size[x], size[y]) >= slack * np.maximum(size[x], size[y]))
+            x, y = x[open_], y[open_]
+            near = np.bitwise_count(told[x, PRINTS + 1 :] ^ told[y, PRINTS + 1 :]).sum(axis=1) <= limit
+            x, y = x[near], y[near]
+            earlier = np.arange(PRINTS + 1) < turn[x][:, None]
+            first = ~((told[x, : PRINTS + 1] == told[y, : PRINTS + 1]) & earlier).any(axis=1)
+            marked[x[first]] = marked[y[first]] = True
+        if marked.any():
+            at = pa.array(np.flatnonzero(marked))
+            sketch = [x.tobytes() for x in told[marked, PRINTS + 1 :]]
+            found = rows.select([*CELL, "role", "node", "root"]).take(at).append_column("sketch", pa.array(sketch, pa.binary()))
+            yield from found.to_batches()
+
+
+def confirm(node: np.ndarray, root: np.ndarray, role: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], limit: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a cell's similar sets (sorted, distinct elements) that join what all of them join.
+
+    Pairs that are joined already are passed over, so a group of near copies
+    costs one comparison each.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.cumsum(size) - size
+    distinct, ids = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True)
+    mark = np.zeros(len(distinct), bool)
+    label = np.unique(root, return_inverse=True)[1]
+    data = np.flatnonzero(role & 1)
+    out_a, out_b = [], []
+    for x in np.flatnonzero(role & 2).tolist():
+        open_ = (label[data] != label[x]) & (np.bitwise_count(sketch[data] ^ sketch[x]).sum(axis=1) <= limit)
+        y = data[open_]
+        y = y[np.minimum(size[y], size[x]) >= similarity * (1 - 1e-9) * np.maximum(size[y], size[x])]
+        if not len(y):
+            continue
+        own = ids[start[x] : start[x] + size[x]]
+        mark[own] = True
+        first = np.cumsum(size[y]) - size[y]
+        at = np.arange(int(size[y].sum())) + np.repeat(start[y] - first, size[y])
+        # a set without elements is a class of its own, which has no partner
+        common = np.add.reduceat(mark[ids[at]], first, dtype=np.int64)
+        mark[own] = False
+        y = y[common >= (similarity - 1e-12) * (size[x] + size[y] - common)]
+        for i, lab in zip(y.tolist(), label[y].tolist(), strict=True):
+            if label[i] != label[x]:
+                out_a.append(node[x])
+                out_b.append(node[i])
+                label[label == lab] = label[x]
+    return np.array(out_a, np.int64), np.array(out_b, np.int64)
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch], limit: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of all cells, by their rows' sets."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for key, rows in _runs(batches, len(CELL)):
+        node, root, role = (rows[c].to_numpy() for c in ("node", "root", "role"))
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(key), SKETCH)
+        lists = rows["set"].combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = pa.concat_arrays(lists.chunks)
+        flat, edge = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+        bounds = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            kept.append(confirm(node[low:high], root[low:high], role[low:high], sketch[low:high], [flat[edge[i] : edge[i + 1]] for i in range(low, high)], limit, similarity))
+        if sum(len(x) for x, _ in kept) > _PAIRS or len(kept) > _PAIRS:
+            kept = [forest(*map(np.concatenate, zip(*kept, strict=True)))]
+    if kept:
+        a, b = forest(*map(np.concatenate, zip(*kept, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=LINKS.names)
 
-def _alike(a: str, b: str, similarity: float):
-    """Whether the sketches of two sides of a join tell as much."""
-    differ = sum(F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCHED)
-    return differ <= math.floor((1 - similarity) * 32 * SKETCH + 1e-9)
 
+def _grid(members: DataFrame, block: int) -> DataFrame:
+    """Cells of the buckets that are too large for one: what is apart from a bucket's commonest root meets all of it.
 
-def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.14, seed: int = 42, text_col: str = "text") -> DataFrame:
+    Columns of members: bucket, turn, node, size, root. The commonest root's rows
+    are no probes, so a bucket that is joined already costs nothing, and one that
+    nearly is costs a row each and a few more.
+    """
+    of = ("bucket", "turn")
+    roots = members.groupBy(*of, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("e"))
+    most = roots.groupBy(*of).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(F.col("e") / _ELEMENTS * n / F.col("n"))).cast("int")
+    most = checkpoint(most.select(*of, F.col("most.root").alias("common"), parts(F.col("n")).alias("data_blocks"), parts(F.col("n") - F.col("most.n")).alias("probe_blocks")))
+    met = members.join(most, list(of))
+    own = lambda n, salt: F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = ("node", "size", "root")
+    data = met.select(*of, own("data_blocks", 1).alias("data_block"), every("probe_blocks").alias("probe_block"), F.lit(1).alias("role"), *rest)
+    probe = met.filter("root <> common").select(*of, every("data_blocks").alias("data_block"), own("probe_blocks", 2).alias("probe_block"), F.lit(2).alias("role"), *rest)
+    return data.unionByName(probe)
+
+
+def _once(df: DataFrame, many: DataFrame | None, key: list[str]) -> DataFrame:
+    """The rows of df, one for each key in many; other keys are known to be unique."""
+    if many is None:
+        return df
+    same = lambda: [df[c].eqNullSafe(many[f"many {i}"]) for i, c in enumerate(key)]
+    return df.join(many, same(), "left_anti").unionByName(df.join(many, same(), "left_semi").dropDuplicates(key))
+
+
+def _repeated(rows: DataFrame, key: list[str]) -> DataFrame | None:
+    found = checkpoint(rows.groupBy(*key).count().filter("count > 1").select(*(F.col(c).alias(f"many {i}") for i, c in enumerate(key))))
+    return None if found.isEmpty() else found
+
+
+def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5, similarity: float = 0.8, slack: float = 0.14, distance: int = 4, seed: int = 42, block: int = BLOCK, text_col: str = "text") -> DataFrame:
     """Rows of keys and component (a number), one for each row of docs: equal for texts that a chain of similar ones joins.
 
     Two texts are similar if the Jaccard similarity of their word shingles is
-    `similarity` or more, by the sets themselves. Candidates are texts with a
-    common minwise print, whatever the edit: of pairs at 0.8 they miss 0.0004.
-    Sketches of 256 bits keep out the pairs that are far below (standard error
-    0.04 at 0.8; `slack` below it, which 0.0003 of the pairs at 0.8 don't reach).
-    Texts with the same shingles are one class before anything is linked.
-
-    Each class is first compared with the least one that it meets. Only classes
-    that are still apart then meet in pairs, all of them, so that a large group
-    of near copies costs no pairs of its own and no link is taken for another.
-
-    Texts shorter than a shingle have the whole sequence as their one; null,
-    empty and blank texts are one class. Null keys and repeated rows stay, whole
-    texts count, other columns are ignored, no rows give none.
+    `similarity` or more, by the sets of 64-bit shingle hashes themselves. They
+    meet in buckets: first the families of SimHashes within `distance` bits,
+    which the generalised pigeonhole search links; then their minwise prints,
+    since a pair at 0.8 lies some ten bits apart, beyond any such search. Of
+    pairs at 0.8 the prints miss 0.0004, whatever the edit. In a bucket sketches
+    of 256 bits keep out the pairs that are far below (standard error 0.04 at
+    0.8; `slack` below it, which 0.0003 of the pairs at 0.8 don't reach); a pair
+    is looked at in the first bucket that it shares. Only the sets of texts
+    with such a partner are moved, once for each of these buckets, and compared
+    in place: what leaves a task is a forest of the links.
+
+    A bucket of more than `block` texts is cut into blocks. After these are
+    compared within, the texts that aren't joined with its commonest component
+    meet all of the bucket, block by block.
+
+    Texts with the same shingles are one class before anything is linked. Texts
+    shorter than a shingle have the whole sequence as their one; null, empty and
+    blank texts are one class. Null keys and repeated rows stay, whole texts
+    count, other columns are ignored, no rows give none.
     """
-    prints = [*(f"p{i}" for i in range(PRINTS)), *SKETCHED]
-    out = T.StructType([*(docs.schema[c] for c in keys), *(T.StructField(c, T.LongType()) for c in ("node", *prints))])
+    out = T.StructType([*(docs.schema[c] for c in keys), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.LongType()), T.StructField("told", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
         for batch in batches:
-            found = np.empty((len(prints) + 1, batch.num_rows), np.uint64)
+            found, told = np.empty((3, batch.num_rows), np.uint64), []
             for i, x in enumerate(batch.column(batch.num_columns - 1)):
-                h = shingle_hashes(x.as_py(), shingle, seed)
-                found[0, i], found[1:, i] = xxh64_intdigest(h.tobytes(), seed), _prints(h)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in found.view(np.int64))], names=out.names)
+                raw = raw_hashes(x.as_py(), shingle, seed)
+                h = np.unique(raw)
+                found[:, i] = xxh64_intdigest(h.tobytes(), seed), majority(raw), len(h)
+                told.append(_prints(h).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c) for c in found.view(np.int64)), pa.array(told, pa.binary())], names=out.names)
 
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(batch.num_rows, -1)[:, :PRINTS]
+            buckets = np.concatenate([batch.column(1).to_numpy()[:, None], prints], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.FixedSizeListArray.from_arrays(pa.array(buckets.ravel()), PRINTS + 1).cast(pa.list_(pa.int64()))], names=["node", "size", "buckets"])
+
+    spark = docs.sparkSession
+    deal, limit = parallelism(spark), math.floor((1 - similarity + slack) * 32 * SKETCH + 1e-9)
     rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out))
-    classes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in prints))
-    classes = checkpoint(classes.select("node", *SKETCHED, F.array(*prints[:PRINTS]).alias("prints")))
-    met = classes.select(F.explode("prints").alias("print"), "node", *SKETCHED)
-    firsts = met.groupBy("print").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("print", "head")
-    met = checkpoint(met.join(firsts, "print"))
-    near = _alike("x", "y", similarity - slack)
-
-    heads = met.filter("node = head").drop("head")
-    pairs = met.filter("node <> head").alias("x").join(heads.alias("y"), (F.col("x.print") == F.col("y.print")) & near)
-    first = checkpoint(pairs.groupBy(F.col("x.node").alias("a")).agg(F.min("y.node").alias("b")))
-    confirmed = lambda df: checkpoint(_confirmed(df, rows, docs, keys, shingle, similarity, seed, text_col))
-    linked = confirmed(first)
-
-    roots = checkpoint(components(linked))
-    rooted = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = checkpoint(rooted.join(roots.select(F.col("node").alias("head"), F.col("root").alias("head_root")), "head", "left").withColumn("head_root", F.coalesce("head_root", "head")))
-    apart = (F.col("x.print") == F.col("y.print")) & (F.col("x.root") != F.col("y.root")) & near
-    pairs = rooted.filter("root <> head_root").alias("x").join(rooted.alias("y"), apart)
-    second = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    second = checkpoint(second.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        linked = linked.unionByName(confirmed(second))
-    return rows.join(components(linked), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
+    classes = checkpoint(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "told"))))
+    families = components(links(checkpoint(classes.select("fp").distinct()), distance))
+    # equal SimHashes are one family as well
+    family = F.xxhash64(F.coalesce("root", "fp"), F.lit(seed))
+    classes = checkpoint(classes.join(families.withColumnRenamed("node", "fp"), "fp", "left").select("node", family.alias("family"), "size", "told"))
+    met = classes.filter("size > 0").select("node", "family", "size", "told").mapInArrow(printed, "node long, size long, buckets array<long>")
+    met = met.select("node", "size", F.posexplode("buckets").alias("turn", "bucket"))
+    large = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("e") / _ELEMENTS)).cast("int")
+    shared = met.groupBy("bucket", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("e")).filter("n > 1").select("bucket", "turn", large.alias("blocks"))
+    met = checkpoint(met.join(shared, ["bucket", "turn"]))
+
+    asked_for = [f"key {i}" for i in range(len(keys))]
+    many = _repeated(rows, list(keys))
+    texts = _once(docs.select(*(F.col(c).alias(n) for c, n in zip(keys, asked_for, strict=True)), text_or_empty(text_col).alias("text")), many, asked_for)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, _SETS):
+                batch = whole.slice(low, _SETS)
+                found = [shingle_hashes(x.as_py(), shingle, seed).view(np.int64) for x in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "set"])
+
+    def linked(cells: DataFrame) -> DataFrame:
+        """Links among the rows of the cells, by their sets."""
+        told = _dealt(cells.drop("size").join(classes, "node"), deal)
+        whole = "bucket long, turn int, data_block int, probe_block int, role int, node long, root long, sketch binary"
+        open_ = checkpoint(told.select(*CELL, "role", "node", "root", "family", "size", "told").mapInArrow(lambda x: _partners(x, limit, similarity), whole))
+        named = rows.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*keys)).alias("k"))
+        named = named.select("node", *(F.col("k")[c].alias(f"of {i}") for i, c in enumerate(keys)))
+        known = texts.join(named, [F.col(f"of {i}").eqNullSafe(F.col(n)) for i, n in enumerate(asked_for)]).select("node", "text").mapInArrow(sets, "node long, set array<long>")
+        return checkpoint(_dealt(open_.join(known, "node").select(*CELL, "role", "node", "root", "sketch", "set"), deal).mapInArrow(lambda x: _confirmed(x, limit, similarity), LINKS))
+
+    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+    found = linked(met.select("bucket", "turn", own.alias("data_block"), own.alias("probe_block"), F.lit(3).alias("role"), "node", "size", F.col("node").alias("root")))
+    hot = checkpoint(met.filter("blocks > 1").drop("blocks"))
+    if not hot.isEmpty():
+        roots = components(found)
+        members = checkpoint(hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        found = found.unionByName(linked(_grid(members, block)))
+    return rows.select(*keys, "node").join(components(found), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -471,12 +603,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     marked = docs.withColumns({"id of the row": F.col(id_col).cast("long"), "hash of the row": F.xxhash64(F.col(text_col).cast("string"))})
     key = ("id of the row", "hash of the row")
     classes = similar_classes(marked, keys=key, text_col=text_col, **options)
-    order = F.struct(F.col(key[0]).isNull(), *key)
+    order = F.struct(F.col(key[0]).isNull(), *key)  # combined before the shuffle, so a large group is no hot key
     kept = checkpoint(classes.groupBy("component").agg(F.min(order).alias("k")).select(*(F.col("k")[c].alias(c) for c in key)))
     same = lambda a, b: a[key[0]].eqNullSafe(b[key[0]]) & (a[key[1]] == b[key[1]])
-    many = checkpoint(classes.groupBy(*key).count().filter("count > 1").select(*key))
-    once = marked.join(kept, same(marked, kept), "left_semi")
-    if many.isEmpty():
-        return once.drop(*key)
-    again = once.join(many, same(once, many), "left_semi").dropDuplicates(list(key))
-    return once.join(many, same(once, many), "left_anti").unionByName(again).drop(*key)
+    many = _repeated(classes, list(key))
+    return _once(marked.join(kept, same(marked, kept), "left_semi"), many, list(key)).drop(*key)
