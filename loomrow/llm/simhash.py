@@ -552,11 +552,13 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
     spark = docs.sparkSession
     deal, limit = parallelism(spark), math.floor((1 - similarity + slack) * 32 * SKETCH + 1e-9)
     rows = checkpoint(docs.select(*keys, text_or_empty(text_col).alias("text of the row")).mapInArrow(run, out))
-    classes = checkpoint(rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "told"))))
+    # the copies of a class are one row from here on, with the least keys of one of them
+    classes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "told")), F.min(F.struct(*keys)).alias("k"))
+    classes = checkpoint(classes.select("node", "fp", "size", "told", *(F.col("k")[c].alias(f"of {i}") for i, c in enumerate(keys))))
     families = components(links(checkpoint(classes.select("fp").distinct()), distance))
     # equal SimHashes are one family as well
     family = F.xxhash64(F.coalesce("root", "fp"), F.lit(seed))
-    classes = checkpoint(classes.join(families.withColumnRenamed("node", "fp"), "fp", "left").select("node", family.alias("family"), "size", "told"))
+    classes = checkpoint(classes.join(families.withColumnRenamed("node", "fp"), "fp", "left").select("node", family.alias("family"), "size", "told", *(f"of {i}" for i in range(len(keys)))))
     met = classes.filter("size > 0").select("node", "family", "size", "told").mapInArrow(printed, "node long, size long, buckets array<long>")
     met = met.select("node", "size", F.posexplode("buckets").alias("turn", "bucket"))
     large = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("e") / _ELEMENTS)).cast("int")
@@ -579,8 +581,7 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
         told = _dealt(cells.drop("size").join(classes, "node"), deal)
         whole = "bucket long, turn int, data_block int, probe_block int, role int, node long, root long, sketch binary"
         open_ = checkpoint(told.select(*CELL, "role", "node", "root", "family", "size", "told").mapInArrow(lambda x: _partners(x, limit, similarity), whole))
-        named = rows.join(open_.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*keys)).alias("k"))
-        named = named.select("node", *(F.col("k")[c].alias(f"of {i}") for i, c in enumerate(keys)))
+        named = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", *(f"of {i}" for i in range(len(keys))))
         known = texts.join(named, [F.col(f"of {i}").eqNullSafe(F.col(n)) for i, n in enumerate(asked_for)]).select("node", "text").mapInArrow(sets, "node long, set array<long>")
         return checkpoint(_dealt(open_.join(known, "node").select(*CELL, "role", "node", "root", "sketch", "set"), deal).mapInArrow(lambda x: _confirmed(x, limit, similarity), LINKS))
 

@@ -135,6 +135,28 @@ def test_groups_of_templates_against_brute_force(spark):
     assert split(label.__getitem__) == split(got.__getitem__) and len(split(label.__getitem__)) > 20
 
 
+def test_a_bucket_cut_into_blocks_loses_no_link(spark):
+    rng = random.Random(11)
+    rows = []
+    common = [f"c{i}" for i in range(40)]
+    for g in range(3):  # two groups share a passage of 40 words, so that they meet in one bucket
+        base = (common if g else []) + [f"g{g}.{i}" for i in range(100)]
+        for _ in range(25):
+            text = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                text[rng.randrange(40, len(text))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = lambda block: {frozenset(r.m) for r in simhash.similar_classes(df, keys=("doc_id",), block=block).groupBy("component").agg(cp.F.collect_list("doc_id").alias("m")).collect()}
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    assert parts(5) == {frozenset(i for i in range(len(rows)) if label[i] == c) for c in set(label)}
+
+
 def test_stages(spark, tmp_path):
     rows, groups = corpus(7)
     odd = [(500, "1234 !! 55", "en", "s", 10), (501, None, "en", "s", None), (502, "", None, "s", 0), (503, rows[3][1] + " write to jane@example.com now", None, None, None), (504, "the only words of another text 10.1.2.3 stay", "en", "s", 1)]
