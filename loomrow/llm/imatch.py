@@ -16,13 +16,13 @@ from loomrow.llm._shared import checkpoint
 
 #: Share of documents that a lexicon term is found in; common terms say little, and a floor bounds the lexicon.
 LOW, HIGH = 0.001, 0.05
-#: Terms of the lexicon at most: the floor doubles until they fit.
+#: Terms of a lexicon that is broadcast; a larger one is joined.
 LEXICON = 1 << 20
 #: One subset for each: 2^-e of the lexicon.
 EXPONENTS = (0, 1, 2, 3, 4, 4, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8, 9)
 #: Documents with fewer lexicon terms are known by subsets of all their terms.
 FEW = 16
-_DIGITS = 8
+_DIGITS = 16
 _EMPTY = "-" * _DIGITS
 #: Ranges of ids found by quantiles, and documents in each part of a range at the expected size.
 _RANGES, _PART = 128, 250
@@ -36,29 +36,33 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = LEXICON, by_class: bool = False) -> DataFrame:
+def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH, by_class: bool = False) -> DataFrame:
     """Rows h: terms found in a share of at least low and at most high of all rows.
 
     By class, a group of copies counts as one row, the one with the least terms:
     texts are of a class that have the least term in each of three orders in common.
 
     A share of low is reached by at most (mean distinct terms) / low terms,
-    whatever the number of documents; low doubles until no more than most are left.
+    whatever the number of documents. Null, empty and blank texts count as rows
+    without terms (one class of them); repeated rows count each, unless by
+    class. Whole texts count, however long; other columns are ignored, whatever
+    their names; no rows give no terms.
     """
     sets = docs.select(term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hs"))
     if by_class:
         order = lambda i: F.array_min(F.transform("hs", lambda h: F.xxhash64(h, F.lit(i))))
         sets = sets.select(F.xxhash64(*map(order, range(3))).alias("class"), F.array_sort("hs").alias("hs"))
-        n = sets.select("class").distinct().count()
         sets = sets.groupBy("class").agg(F.min("hs").alias("hs"))
-    else:
-        n = docs.count()
-    counts = sets.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    found = checkpoint(counts.filter(F.col("df").between(low * n, high * n)))
-    while found.count() > most:
-        low *= 2
-        found = found.filter(F.col("df") >= low * n)
-    return found.select("h")
+    # a null in front of each row's terms counts the rows, so the texts are read once
+    each = F.explode(F.concat(F.array(F.lit(None).cast("long")), "hs")).alias("h")
+    counts = checkpoint(sets.select(each).groupBy("h").agg(F.count(F.lit(1)).alias("df")))
+    n = counts.filter("h is null").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    return checkpoint(counts.filter(F.col("h").isNotNull() & F.col("df").between(low * n, high * n)).select("h"))
+
+
+def _bounded(lex: DataFrame) -> DataFrame:
+    """The lexicon, to be broadcast if its size allows."""
+    return F.broadcast(lex) if lex.limit(LEXICON + 1).count() <= LEXICON else lex
 
 
 def _member(s: int, h: Column) -> Column:
@@ -99,14 +103,15 @@ def likeness(a: Column, b: Column) -> Column:
 def _with_terms(rows: DataFrame, lex: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
     """Adds for each {new: old} the sorted lexicon terms among the hashes in old.
 
-    Rows lie by the first of keys, all of which name a row; so nothing is shuffled.
+    Rows lie by the first of keys, all of which name a row; so nothing is
+    shuffled unless the lexicon is too large to be broadcast.
     """
     rest = [c for c in rows.columns if c not in keys and c not in columns.values()]
     # one row without a term keeps those that have none
     numbered = lambda c, i: F.transform(c, lambda h: F.struct(F.lit(i).alias("k"), h.alias("h")))
     every = F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("h"))), *(numbered(c, i) for i, c in enumerate(columns.values())))
     flat = rows.select(*keys, *rest, F.inline(every))
-    hit = flat.join(F.broadcast(lex.select(F.col("h"), F.lit(True).alias("in"))), "h", "left").filter("in or k < 0")
+    hit = flat.join(_bounded(lex.select(F.col("h"), F.lit(True).alias("in"))), "h", "left").filter("in or k < 0")
     head = [F.max(F.when(F.col("k") < 0, F.struct(*rest))).alias("head")]
     lists = [F.sort_array(F.collect_list(F.when(F.col("k") == i, F.col("h")))).alias(c) for i, c in enumerate(columns)]
     return hit.groupBy(*keys).agg(*head, *lists).select(*keys, "head.*", *columns)
@@ -145,14 +150,17 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame, lex: DataFrame, *, few: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows doc_id, n_chars, edited, hashes, edited_hashes, near_edited, near_next.
+    """Rows doc_id, n_chars, edited_sha256, hashes, edited_hashes, near_edited, near_next, one for each row of docs.
 
     The next document is that of the next larger id (equal ids by text; a null
     id is smaller than any), after the last the first; a text alone is its own
-    next. edited is the text with its last floor(n / 2) code points replaced by
-    the next text's first as many, or all if fewer.
+    next. edited (known by its SHA-256) is the text with its last floor(n / 2)
+    code points replaced by the next text's first as many, or all if fewer.
 
-    `few` is as in fingerprints.
+    `few` is as in fingerprints. Null texts count as empty; texts without terms
+    are alike to no other (0). Repeated rows stay, each the next of the one
+    before it. Whole texts count, however long; other columns are ignored,
+    whatever their names; no rows give none.
 
     Rows are dealt to parts of the id range with their texts once; each part
     gets the first row of the part behind it as a guest, so every next document

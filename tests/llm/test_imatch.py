@@ -22,7 +22,7 @@ def of_list(values):
     seed = 42
     for v in values:
         seed = xxhash.xxh64_intdigest(struct.pack("<q", v), seed)
-    return f"{seed:016x}"[:8]
+    return f"{seed:016x}"
 
 
 def hashes(text, lex):
@@ -34,12 +34,12 @@ def hashes(text, lex):
     for s, e in enumerate(imatch.EXPONENTS):
         shift, want = (11 * s) % 55, (0x9E3779B9 >> s % 16) & (1 << e) - 1
         own = [h for h in kept if ((h & (1 << 64) - 1) >> shift) & (1 << e) - 1 == want]
-        out.append(of_list(own) if own else "-" * 8)
+        out.append(of_list(own) if own else "-" * 16)
     return out
 
 
 def alike(a, b):
-    pairs = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-" * 8,) * 2]
+    pairs = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-" * 16,) * 2]
     return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
 
 
@@ -77,10 +77,13 @@ def test_against_brute_force(spark, monkeypatch, part):
     assert some == {(i, tuple(hashes(t, want_lex))) for i, t in plain}
 
 
-def test_lexicon_is_bounded_and_tables_may_be_empty(spark):
+def test_a_large_lexicon_is_joined_and_tables_may_be_empty(spark, monkeypatch):
     df = spark.createDataFrame(rows_for(9), "doc_id long, text string")
-    lex = imatch.lexicon(df, low=0.01, high=0.9, most=10)
-    assert lex.count() <= 10
+    lex = imatch.lexicon(df, low=0.01, high=0.9)
+    found = lambda: sorted(str(tuple(r)) for r in imatch.edited_likeness(df, lex).collect())
+    sent = found()
+    monkeypatch.setattr(imatch, "LEXICON", 10)
+    assert lex.count() > 10 and found() == sent
     none = df.limit(0)
     assert imatch.edited_likeness(none, imatch.lexicon(none)).count() == 0
     one = df.filter("doc_id = 501").unionByName(df.limit(1)).limit(1)
