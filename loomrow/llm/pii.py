@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ Span = tuple[str, int, int]
 
 #: Tokens and characters of a segment at most.
 MOST_TOKENS, MOST_CHARS = 24, 80
+#: Characters from which a stretch is scored for all its segments at once.
+_LONG = 400
+#: Tokens scored at once.
+_AT_ONCE = 4096
 #: Written examples that the weights are fitted to, and rounds over them.
 EXAMPLES, ROUNDS = 700, 5
 
@@ -88,13 +93,18 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s|[^A-Za-z0-9\s]")
+# a bracketed at or dot is one token with the blanks around it, so that no address is too long for a segment's tokens
+_TOKEN = re.compile(r"[0-9]+|[A-Za-z]+| ?[\[(] ?(?:at|dot) ?[\])] ?|\s|[^A-Za-z0-9\s]", re.I)
 _NUMERIC = re.compile(r"[+(]?[0-9](?:[ ().\-/:\[\]+]{0,3}+[0-9])+")
 _ANCHOR = re.compile(r"@|[\[(] ?at ?[\])]", re.I)
 _EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?:@| @ |@ | ?[\[(] ?at ?[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)+", re.I)
 _IP = re.compile(r"[0-9]{1,3}(?:(?: ?\. ?|\[\.\]|\(\.\))[0-9]{1,3}){3}")
 _CARDLIKE = re.compile(r"[0-9]+(?:[ .-][0-9]+)*")
 _PHONELIKE = re.compile(r"(?:\+ ?)?\(?[0-9]+\)?(?:[ .\-/]{0,2}\(?[0-9]+\)?)*")
+#: Characters before a segment that cue words are looked for in.
+_CONTEXT = 24
+#: What goes on behind an address that is cut too early, within so many characters.
+_GOES_ON, _BEHIND = re.compile(r" ?[\[(] ?dot ?[\])] ?\w", re.I), 10
 _CUES = {"phone": {"tel", "phone", "call", "fax", "mobile", "cell", "telefon", "téléphone", "teléfono", "whatsapp"}, "card": {"card", "visa", "mastercard", "karte", "carte", "tarjeta", "credit"}, "ip": {"ip", "host", "server", "address", "ping"}, "email": {"email", "mail", "e-mail", "contact", "correo"}}
 
 
@@ -110,27 +120,53 @@ def candidates(kind: str, span: str) -> bool:
     return 7 <= n <= 15 and bool(_PHONELIKE.fullmatch(span))
 
 
-def features(kind: str, text: str, start: int, end: int) -> list[str]:
-    """Of a whole segment; all are on or off."""
-    span = text[start:end]
-    left, right = text[start - 1 : start], text[end : end + 1]
-    beside = lambda c, far: "none" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "join" if c in "+-./:_@#=" and far[:1].isalnum() else "other"
+def _beside(c: str, far: str) -> str:
+    return "none" if not c else "digit" if c.isdigit() else "letter" if c.isalpha() else "join" if c in "+-./:_@#=" and far[:1].isalnum() else "other"
+
+
+def features_before(kind: str, text: str, start: int) -> list[str]:
+    """Of what stands before a segment."""
+    words = re.findall(r"[^\W\d_]+", text[max(0, start - _CONTEXT) : start].lower())[-2:]
+    out = ["bias", f"left {_beside(text[start - 1 : start], text[max(0, start - 2) : start - 1] if start > 1 else '')}"]
+    return out + ["cue"] * any(w in _CUES[kind] for w in words) + ["other cue"] * any(w in c for k, c in _CUES.items() if k != kind for w in words)
+
+
+def features_behind(text: str, end: int) -> list[str]:
+    if _GOES_ON.match(text, end, end + _BEHIND):
+        return ["right goes on"]
+    return [f"right {_beside(text[end : end + 1], text[end + 1 : end + 2])}"]
+
+
+def features_of_shape(kind: str, span: str) -> list[str]:
+    """Of a segment itself, as far as its digits' values don't count."""
     groups = [len(x) for x in re.findall("[0-9]+", span)]
     seps = {x for x in re.findall(r"[^0-9]+", span.strip("+()"))}
     shape = "-".join(map(str, groups)) if len(groups) < 6 else "many"
-    words = re.findall(r"[^\W\d_]+", text[max(0, start - 24) : start].lower())[-2:]
-    out = ["bias", f"left {beside(left, text[max(0, start - 2) : start - 1] if start > 1 else '')}", f"right {beside(right, text[end + 1 : end + 2])}"]
-    out += ["cue"] * any(w in _CUES[kind] for w in words)
-    out += ["other cue"] * any(w in c for k, c in _CUES.items() if k != kind for w in words)
     if kind == "email":
-        out += [f"plain {'@' in span}", f"long tail {len(span.rsplit('.', 1)[-1]) > 8}"]
-    if kind in ("card", "phone"):
-        n = sum(groups)
-        out += [f"digits {n}", f"seps {len(seps)}", f"groups {shape}" if n > 6 else "few", f"plus {span[0] == '+'}", f"bracket {'(' in span}"]
-        out += [f"luhn {luhn(_digits(span))} {n in (13, 14, 15, 16, 19)}"] if kind == "card" else [f"lone group {len(groups) == 1} {span[0] == '+'}"]
+        return [f"plain {'@' in span}", f"long tail {len(span.rsplit('.', 1)[-1]) > 8}"]
+    if kind == "ip":
+        return []
+    n = sum(groups)
+    out = [f"digits {n}", f"seps {len(seps)}", f"groups {shape}" if n > 6 else "few", f"plus {span[0] == '+'}", f"bracket {'(' in span}"]
+    return out + [f"lone group {len(groups) == 1} {span[0] == '+'}"] * (kind == "phone")
+
+
+def feature_of_check(n: int, good: bool) -> str:
+    return f"luhn {good} {n in (13, 14, 15, 16, 19)}"
+
+
+def features_of_value(kind: str, span: str) -> list[str]:
+    if kind == "card":
+        return [feature_of_check(len(_digits(span)), luhn(_digits(span)))]
     if kind == "ip":
-        out += [f"dots {'.'.join(re.findall('[0-9]+', span)) == span}", f"zeros {any(x[0] == '0' and len(x) > 1 for x in re.findall('[0-9]+', span))}"]
-    return [f"{kind} {x}" for x in out]
+        return [f"dots {'.'.join(re.findall('[0-9]+', span)) == span}", f"zeros {any(x[0] == '0' and len(x) > 1 for x in re.findall('[0-9]+', span))}"]
+    return []
+
+
+def features(kind: str, text: str, start: int, end: int) -> list[str]:
+    """Of a whole segment; all are on or off."""
+    span = text[start:end]
+    return [f"{kind} {x}" for x in (*features_before(kind, text, start), *features_behind(text, end), *features_of_shape(kind, span), *features_of_value(kind, span))]
 
 
 class Region:
@@ -150,24 +186,7 @@ class Region:
 
     def best(self, weights: dict[str, float]) -> list[Span]:
         """The segmentation of highest score; single tokens are outside for 0."""
-        score, back = [0.0], [None]
-        for segments in self.ending[1:]:
-            top, how = score[-1], None
-            for i, kind, fs in segments:
-                s = score[i] + sum(weights.get(f, 0.0) for f in fs)
-                if s > top:
-                    top, how = s, (i, kind)
-            score.append(top)
-            back.append(how)
-        out, j = [], len(score) - 1
-        while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, kind = back[j]
-                out.append((kind, self.at[i], self.at[j]))
-                j = i
-        return out[::-1]
+        return best_segments(self.at, [[(i, kind, sum(weights.get(f, 0.0) for f in fs)) for i, kind, fs in x] for x in self.ending])
 
     def expected(self, weights: dict[str, float]) -> tuple[float, list[tuple[float, list[str]]]]:
         """Log of the sum over all segmentations, and each segment's probability with its features."""
@@ -187,6 +206,136 @@ class Region:
         return ahead[-1], [(math.exp(min(0.0, ahead[i] + s + behind[j] - ahead[-1])), fs) for j in range(1, n) for i, s, fs in value[j]]
 
 
+def best_segments(at: list[int], ending: list[list[tuple[int, str, float]]]) -> list[Span]:
+    """The segmentation of highest score among scored segments (first token, kind, score) by the token they end before."""
+    score, back = [0.0], [None]
+    for segments in ending[1:]:
+        top, how = score[-1], None
+        for i, kind, s in segments:
+            if score[i] + s > top:
+                top, how = score[i] + s, (i, kind)
+        score.append(top)
+        back.append(how)
+    out, j = [], len(score) - 1
+    while j:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, kind = back[j]
+            out.append((kind, at[i], at[j]))
+            j = i
+    return out[::-1]
+
+
+_ANY_DIGIT = str.maketrans("0123456789", "1" * 10)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def best_of_long(text: str, start: int, end: int, weights: dict[str, float]) -> list[Span]:
+    """What Region(text, start, end).best(weights) gives, for many tokens at once.
+
+    Numbers of digits and checksums of segments come from prefix sums, and what
+    depends on a segment's shape (its characters, digits alike) or on its
+    surroundings is worked out once for each shape. Segments of no positive
+    score can't be in the best segmentation and are left out.
+    """
+    shapes = text.translate(_ANY_DIGIT)
+    w = lambda kind, names: sum(weights.get(f"{kind} {x}", 0.0) for x in names)
+    known: dict[str, tuple[int, ...]] = {}
+    names: dict[str, int] = {}
+    at_, told = [], []
+    for m in _TOKEN.finditer(text, start, end):
+        at_.append(m.start())
+        x = m[0]
+        if x not in known:
+            number = "0" <= x[0] <= "9"
+            code = names.setdefault(x.translate(_ANY_DIGIT), len(names) + 1)
+            known[x] = (code, len(x) if number else 0, x[0].isalnum() or x[0] in "+(", x[-1].isalnum() or x[-1] == ")", _ANCHOR.search(x) is not None)
+        told.append(known[x])
+    n = len(at_)
+    at = np.array([*at_, end], np.int64)
+    code, size, can_start, can_end, mark = np.array(told, np.int64).reshape(n, 5).T
+    can_start, can_end = can_start > 0, can_end > 0
+    digits, groups, marks = (np.append(0, np.cumsum(x)) for x in (size, size > 0, mark))
+    values = np.frombuffer(text[start:end].encode("utf-8"), np.uint8)
+    values = values[(values >= 48) & (values <= 57)].astype(np.int64) - 48
+    twice = np.where(values > 4, 2 * values - 9, 2 * values)
+    odd = np.arange(len(values)) % 2 == 1
+    # sums with every other digit doubled: those at odd places, those at even ones
+    sums = np.stack([np.append(0, np.cumsum(np.where(odd, twice, values))), np.append(0, np.cumsum(np.where(odd, values, twice)))])
+    # a number of each run of tokens, from which that of any segment follows
+    powers = np.append(np.uint64(1), np.cumprod(np.full(n, _FACTOR)))
+    run = np.append(np.uint64(0), np.cumsum(code.astype(np.uint64) * powers[:-1]))
+    inverse = np.append(np.uint64(1), np.cumprod(np.full(n, np.uint64(pow(int(_FACTOR), -1, 1 << 64)))))
+    checked = np.zeros((20, 2))
+    for k in range(13, 20):
+        checked[k] = [w("card", [feature_of_check(k, x)]) for x in (False, True)]
+
+    ending: list[list[tuple[int, str, float]]] = [[] for _ in range(n + 1)]
+    before: dict[tuple[str, str], float] = {}
+    behind: dict[tuple[str, str], float] = {}
+
+    def left(kind: str, i: int) -> float:
+        low = max(0, int(at[i]) - _CONTEXT)
+        key = (kind, shapes[low : at[i]] if low else "^" + shapes[: at[i]])
+        if key not in before:
+            before[key] = w(kind, features_before(kind, text, int(at[i])))
+        return before[key]
+
+    def right(kind: str, j: int) -> float:
+        key = (kind, shapes[at[j] : at[j] + _BEHIND])
+        if key not in behind:
+            behind[key] = w(kind, features_behind(text, int(at[j])))
+        return behind[key]
+
+    shaped: dict[tuple[str, str], float] = {}
+
+    def of_shape(kind: str, x: str) -> float:
+        """Score of a shape, -inf where it can't be of the kind."""
+        if (kind, x) not in shaped:
+            fits = bool(_IP.fullmatch(x)) if kind == "ip" else candidates(kind, x)
+            shaped[kind, x] = w(kind, features_of_shape(kind, x)) if fits else -math.inf
+        return shaped[kind, x]
+
+    for low in range(0, n, _AT_ONCE):
+        found = []
+        for by in range(1, min(MOST_TOKENS, n) + 1):
+            j = np.arange(max(low + 1, by), min(low + _AT_ONCE, n) + 1)
+            i = j - by
+            chars, d = at[j] - at[i], digits[j] - digits[i]
+            ok = can_start[i] & can_end[j - 1] & (chars >= 7) & (chars <= MOST_CHARS)
+            ok &= ((d >= 7) & (d <= 19)) | ((groups[j] - groups[i] == 4) & (d <= 12)) | (marks[j] > marks[i])
+            found.append((i[ok], j[ok]))
+        i, j = map(np.concatenate, zip(*found, strict=True))
+        if not len(i):
+            continue
+        d = digits[j] - digits[i]
+        _, first, of = np.unique((run[j] - run[i]) * inverse[i], return_index=True, return_inverse=True)
+        spans = [shapes[at[i[x]] : at[j[x]]] for x in first.tolist()]
+        parity = (digits[j] + 1) % 2
+        good = (sums[parity, digits[j]] - sums[parity, digits[i]]) % 10 == 0
+        for kind in KINDS:
+            score = np.array([of_shape(kind, x) for x in spans], np.float64)[of]
+            here = np.flatnonzero(score > -math.inf)
+            if not len(here):
+                continue
+            a, z, score = i[here], j[here], score[here]
+            for place, part in ((a, left), (z, right)):
+                each, back = np.unique(place, return_inverse=True)
+                score += np.array([part(kind, x) for x in each.tolist()])[back]
+            if kind == "card":
+                score += checked[d[here], good[here].astype(int)]
+            elif kind == "ip":
+                values_ = [text[at[x] : at[y]] for x, y in zip(a.tolist(), z.tolist(), strict=True)]
+                score += [w(kind, features_of_value(kind, x)) if candidates(kind, x) else -math.inf for x in values_]
+            keep = np.flatnonzero(score > 0)
+            for x, y, v in zip(a[keep].tolist(), z[keep].tolist(), score[keep].tolist(), strict=True):
+                ending[y].append((x, kind, v))
+    for x in ending:
+        x.sort(key=lambda e: (e[0], KINDS.index(e[1])))
+    return best_segments(at.tolist(), ending)
+
+
 def regions(text: str, taken: list[Span]) -> list[tuple[int, int]]:
     """Stretches that can hold more: runs of seven digits or more and what is around at-signs, without taken spans."""
     found = [m.span() for m in _NUMERIC.finditer(text) if m.end() - m.start() >= 7 and len(_digits(m[0])) >= 4] if _DIGIT.search(text) else []
@@ -301,7 +450,10 @@ def trained(examples: int = EXAMPLES, rounds: int = ROUNDS, seed: int = 7) -> di
 
 def added_spans(text: str, base: list[Span], weights: dict[str, float]) -> list[Span]:
     """What the field finds besides the base spans; nothing overlaps them."""
-    return [s for a, z in regions(text, base) for s in Region(text, a, z).best(weights)]
+    out: list[Span] = []
+    for a, z in regions(text, base):
+        out += Region(text, a, z).best(weights) if z - a < _LONG else best_of_long(text, a, z, weights)
+    return out
 
 
 def ordered(spans: list[Span]) -> list[Span]:
@@ -350,7 +502,8 @@ def find(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), text_col: str
                     text = x.as_py()
                     base = base_spans(text or "")
                     more = added_spans(text or "", base, w)
-                    spans.append([{"kind": k, "start": a, "end": z, "base": (k, a, z) in base} for k, a, z in ordered(base + more)] if base or more else [])
+                    own = set(base)
+                    spans.append([{"kind": k, "start": a, "end": z, "base": (k, a, z) in own} for k, a, z in ordered(base + more)] if base or more else [])
                     redacted.append(redact(text, base + more) if with_redacted and text is not None else None)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(spans, kinds), pa.array(redacted, pa.string())], names=out.names)
 
