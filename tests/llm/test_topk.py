@@ -11,14 +11,14 @@ def brute(queries, candidates, k):
     whole = lambda v: [math.floor(64 * float(x)) for x in v]
     out = []
     for i, q in filter(ok, queries):
-        scored = sorted((-max(-(1 << 61), min(1 << 61, sum(a * b for a, b in zip(whole(q), whole(c), strict=True)))), j) for j, c in filter(ok, candidates) if j != i and len(c) == len(q))
+        scored = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole(q), whole(c), strict=True)))), j) for j, c in filter(ok, candidates) if j != i and len(c) == len(q))
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
 
-def run(spark, queries, candidates, k, parts=3):
+def run(spark, queries, candidates, k, parts=3, **options):
     make = lambda rows: spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<float>, rank int, score string").repartition(parts)
-    return sorted(tuple(r) for r in topk.top_k(make(queries), make(candidates), k).collect())
+    return sorted(tuple(r) for r in topk.top_k(make(queries), make(candidates), k, **options).collect())
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -31,11 +31,12 @@ def test_against_brute_force(spark, monkeypatch):
     queries = [r for r in rows if r[0] is not None and r[0] % 20 == 0]
     assert run(spark, queries, rows, 20) == brute(queries, rows, 20)
     assert run(spark, queries, rows[:4], 20) == brute(queries, rows[:4], 20)
+    assert run(spark, queries, rows, 3, sent=1) == brute(queries, rows, 3)
 
 
 def test_wide_values_and_none(spark):
     rng = random.Random(2)
-    for size in (1e3, 1e7, 1e30):
+    for size in (1e3, 1e7, 2e7, 1e30):
         rows = [(i, np.array([rng.uniform(-size, size) for _ in range(4)], np.float32).tolist()) for i in range(30)]
         assert run(spark, rows[:5], rows, 3) == brute(rows[:5], rows, 3)
     assert run(spark, [], [], 3) == run(spark, rows[:2], [], 3) == []
