@@ -121,7 +121,8 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = 1000, date: st
     revisits of it; a null id is smaller than any, and if all are null all are
     responses. Repeated rows are written each. Null and odd urls are written as
     a page's own name and percent-encoded. Other columns are ignored, whatever
-    their names. No rows write nothing.
+    their names. No rows write nothing. A payload of any length is one record,
+    which is made and read whole, so a task's memory bounds it.
 
     Each attempt of a task writes names of its own, and only archives of
     attempts that succeed are in the result: run again after a loss, none is
@@ -130,9 +131,13 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = 1000, date: st
     payload = text_or_empty(html_col).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
-    again = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.lit(False))
-    placed = rows.join(again, ["digest", "size"], "left").select("page_id", "url", "payload", F.when(revisit, F.col("keeper")).alias("refers_to"), revisit.alias("revisit"))
+    # keepers meet their digests without payloads; payloads then go by id and digest, so that a common one is spread
+    large = rows.filter(F.col("size") >= least)
+    again = large.groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1 and keeper is not null").drop("n")
+    revisits = large.select("page_id", "digest", "size").join(again, ["digest", "size"]).filter(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("id"), F.col("digest").alias("of"), F.col("size").alias("bytes"), "keeper").distinct()
+    same = F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")) & (F.col("size") == F.col("bytes"))
+    written = lambda df, keeper: df.select("page_id", "url", "payload", keeper.alias("refers_to"), keeper.isNotNull().alias("revisit"))
+    placed = written(large.join(revisits, same, "left"), F.col("keeper")).unionByName(written(rows.filter(F.col("size") < least), F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
