@@ -58,10 +58,13 @@ def every_node(txs: DataFrame, n: int) -> DataFrame:
 
 def participant_roles(placed: DataFrame, n: int) -> DataFrame:
     """tx, node, role: ACTIVE nodes run it, PASSIVE ones only send what they own of its reads, the others IGNORE it."""
-    active = active_nodes(placed).withColumn("a", F.lit(2))
-    passive = reads(placed).select("tx", F.col("part").alias("node")).distinct().withColumn("a", F.lit(1))
-    level = active.unionByName(passive).unionByName(every_node(transactions(placed), n).withColumn("a", F.lit(0))).groupBy("tx", "node").agg(F.max("a").alias("a"))
-    return level.select("tx", "node", F.element_at(F.array(*map(F.lit, ("IGNORE", "PASSIVE", "ACTIVE"))), F.col("a") + 1).alias("role"))
+    read, write = F.expr("op = 'R' and not replicated"), F.expr("op <> 'R' and not replicated")
+    own = placed.groupBy("tx", "part").agg(F.count(F.when(read, 1)).alias("n"), F.max(F.when(read, F.struct("seq", "tbl", "k"))).alias("reached"), F.max(write).alias("w"))
+    order = F.when(F.col("n") > 0, F.struct(-F.col("n"), "reached"))
+    one = own.groupBy("tx").agg(F.min_by("part", order).alias("best"), F.collect_set(F.when(F.col("w"), F.col("part"))).alias("writers"), F.collect_set(F.when(F.col("n") > 0, F.col("part"))).alias("readers"))
+    active = F.when(F.size("writers") > 0, F.array_contains("writers", F.col("node"))).otherwise(F.col("node") == F.coalesce("best", F.lit(0)))
+    each = one.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return each.select("tx", "node", F.when(active, "ACTIVE").when(F.array_contains("readers", F.col("node")), "PASSIVE").otherwise("IGNORE").alias("role"))
 
 
 def push_sets(placed: DataFrame) -> DataFrame:

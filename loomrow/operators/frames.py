@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import groupby, islice
 
@@ -20,15 +21,28 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it (spark.checkpoint.dir; below the warehouse if it names none)."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(found)
+        return found
+    return held.get()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of df from the shared folder that the session names (spark.checkpoint.dir; below the warehouse if it names none)."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    """The rows of df from the shared folder; what made them is not run again."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more than so many rows; beyond that it is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

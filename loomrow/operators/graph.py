@@ -66,24 +66,19 @@ def sunk_plans(keys: DataFrame, routes: DataFrame) -> DataFrame:
     transaction here) and push (to one on node target); write_back at the key's
     owner, and push to its storage if that is elsewhere.
     """
+    row = lambda tx, node, kind, other, target: F.struct(F.col(tx).alias("tx"), F.col(node).cast("int").alias("node"), F.lit(kind).alias("kind"), other.cast("long").alias("other"), (F.lit(None) if target is None else F.col(target)).cast("int").alias("target"))
+    # each edge and each write-back is met once, with all that follows from it
+    flat = lambda df, *rows: df.select("batch", "tbl", "k", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull()))).select("batch", "tx", "node", "kind", "tbl", "k", "other", "target")
     edges = sources(read_edges(keys), routes)
-    storage = F.col("src") < 0
-    none = F.lit(None).cast("int")
-    row = lambda df, tx, node, kind, other, target: df.select("batch", F.col(tx).alias("tx"), F.col(node).cast("int").alias("node"), kind.alias("kind"), "tbl", "k", other.cast("long").alias("other"), target.cast("int").alias("target"))
-    passed = edges.where("src >= 0")
+    storage, here = F.col("src") < 0, F.col("src_node") == F.col("node")
+    of_edge = flat(
+        edges,
+        row("dst", "node", "read", F.col("src"), None),
+        F.when(storage & here, row("dst", "node", "storage_read", F.col("src"), None)).when(storage, row("dst", "src_node", "storage_push", F.col("dst"), "node")).when(here, row("src", "src_node", "pass", F.col("dst"), None)).otherwise(row("src", "src_node", "push", F.col("dst"), "node")),
+    )
     back = writeback_edges(keys).join(routes.select(F.col("tx").alias("src"), "node"), "src")
-    parts = [
-        row(edges, "dst", "node", F.lit("read"), F.col("src"), none),
-        row(edges.where(storage & (F.col("src_node") == F.col("node"))), "dst", "node", F.lit("storage_read"), F.col("src"), none),
-        row(edges.where(storage & (F.col("src_node") != F.col("node"))), "dst", "src_node", F.lit("storage_push"), F.col("dst"), F.col("node")),
-        row(passed, "src", "src_node", F.when(F.col("src_node") == F.col("node"), "pass").otherwise("push"), F.col("dst"), F.when(F.col("src_node") != F.col("node"), F.col("node"))),
-        row(back, "src", "part", F.lit("write_back"), F.col("src"), none),
-        row(back.where("part <> node"), "src", "node", F.lit("push"), sink_id(F.col("part")), F.col("part")),
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    away = F.when(F.col("part") != F.col("node"), row("src", "node", "push", sink_id(F.col("part")), "part"))
+    return of_edge.unionByName(flat(back, row("src", "part", "write_back", F.col("src"), None), away))
 
 
 def sunk_flags(plans: DataFrame, routes: DataFrame) -> DataFrame:

@@ -58,6 +58,20 @@ def partition_heat(vertices: DataFrame, edges: DataFrame, n: int, cost: float =
     return out.select("part", zero("l").alias("local_load"), zero("c").alias("cross_load"), (zero("l") + F.lit(float(cost)) * zero("c")).alias("total_load"))
 
 
+def partition_loads(placed: DataFrame, n: int, cost: float = 1.0) -> DataFrame:
+    """What partition_heat gives for the graph of placed, without its edges.
+
+    A transaction that names W keys, W_p of them on p, adds W_p * (W - W_p) to
+    p's edges that cross: two aggregates, whatever the number of pairs.
+    """
+    own = occurrences(placed).groupBy("tx", "part").agg(F.sum("n").alias("w"))
+    totals = own.groupBy("tx").agg(F.sum("w").alias("all"), F.collect_list(F.struct("part", "w")).alias("parts"))
+    each = totals.select("all", F.inline("parts")).groupBy("part").agg(F.sum("w").alias("l"), F.sum(F.col("w") * (F.col("all") - F.col("w"))).alias("c"))
+    every = placed.sparkSession.range(n).select(F.col("id").cast("int").alias("part"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    return every.join(F.broadcast(each), "part", "left").select("part", zero("l").alias("local_load"), zero("c").alias("cross_load"), (zero("l") + F.lit(float(cost)) * zero("c")).alias("total_load"))
+
+
 def overload_threshold(heat: DataFrame, factor: float = 1.3) -> DataFrame:
     """threshold and overloaded: the mean load times factor, and the first partition above it (null: none)."""
     mean = heat.agg((F.avg("total_load") * factor).alias("threshold"))
@@ -92,11 +106,22 @@ def receive_delta(members: DataFrame, vertices: DataFrame, edges: DataFrame, n:
     return every.join(gained, "dest", "left").join(crossed, "dest", "left").select("dest", (zero("gained") + F.lit(float(cost)) * zero("crossed")).alias("delta"))
 
 
+def metis_vertices(vertices: DataFrame) -> DataFrame:
+    """v, weight, id: the number of every vertex in the METIS form, from 1 by key (its number, then its text)."""
+    number = F.coalesce(F.substring_index("v", ":", -1).try_cast("long"), F.lit(0))
+    return numbered(vertices.withColumn("order", number), "order", "id", ties=("v",)).select("v", "weight", (F.col("id") + 1).alias("id"))
+
+
+def metis_partition(vertices: DataFrame, found: DataFrame) -> DataFrame:
+    """v, src, dest: the moves that a METIS result asks for; found has the line's number (from 1) and its part."""
+    both = metis_vertices(vertices).join(found.select(F.col("line_no").alias("id"), F.col("part").cast("int").alias("dest")), "id")
+    return both.join(vertices.select("v", F.col("part").cast("int").alias("src")), "v").where("src <> dest").select("v", "src", "dest")
+
+
 def metis_lines(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """line_no, line: the graph in METIS form, vertices numbered from 1 by key (its number, then its text); each line has a weight, then neighbours with edge weights."""
     spark = vertices.sparkSession
-    number = F.coalesce(F.substring_index("v", ":", -1).try_cast("long"), F.lit(0))
-    ids = checkpoint(numbered(vertices.withColumn("order", number), "order", "id", ties=("v",)).select("v", "weight", (F.col("id") + 1).alias("id")))
+    ids = checkpoint(metis_vertices(vertices))
     ends = edges.join(ids.select(F.col("v").alias("src"), F.col("id").alias("a")), "src").join(ids.select(F.col("v").alias("dst"), F.col("id").alias("b")), "dst")
     lists = ends.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "weight"))).alias("near"))
     text = F.concat_ws(" ", F.col("weight").cast("string"), F.transform("near", lambda x: F.concat_ws(" ", x["b"].cast("string"), x["weight"].cast("string"))))
@@ -114,13 +139,16 @@ class DriverGraph:
             self.part[v], self.weight[v] = part, weight
         for a, b, weight in edges:
             self.near.setdefault(a, {})[b] = weight
+        self.local, self.cross = Counter(), Counter()
+        for v, p in self.part.items():
+            self.local[p] += self.weight[v]
+            self.cross[p] += self._crossing(v)
+
+    def _crossing(self, v: str) -> int:
+        return sum(w for u, w in self.near.get(v, {}).items() if self.part[u] != self.part[v])
 
     def loads(self, n: int, cost: float) -> list[float]:
-        out = [0.0] * n
-        for v, p in self.part.items():
-            if p < n:
-                out[p] += self.weight[v] + cost * sum(w for u, w in self.near.get(v, {}).items() if self.part[u] != p)
-        return out
+        return [self.local[p] + float(cost) * self.cross[p] for p in range(n)]
 
     def hottest(self, part: int) -> str:
         return min((v for v, p in self.part.items() if p == part), key=lambda v: (-self.weight[v], v))
@@ -146,7 +174,18 @@ class DriverGraph:
         return Counter(self.part[u] for u in self.near.get(v, {}))
 
     def move(self, members: Iterable[str], dest: int) -> None:
-        self.part.update(dict.fromkeys(members, dest))
+        """Loads follow the moved keys and their neighbours; nothing else is counted again."""
+        for v in members:
+            here = self.part[v]
+            if here == dest:
+                continue
+            self.local[here] -= self.weight[v]
+            self.local[dest] += self.weight[v]
+            self.cross[here] -= self._crossing(v)
+            for u, w in self.near.get(v, {}).items():
+                self.cross[self.part[u]] += w * ((self.part[u] != dest) - (self.part[u] != here))
+            self.part[v] = dest
+            self.cross[dest] += self._crossing(v)
 
 
 class TableGraph:

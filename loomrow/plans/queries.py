@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loomrow.functions.keys import Key, key_text, record_text, sink_id, truncate
 from loomrow.operators import analysis, conflicts, crud, fold, graph, migration, placement, repartition, routing, watermarks
-from loomrow.operators.frames import checkpoint
-from loomrow.sources import tables
+from loomrow.operators.frames import checkpoint, scratch
+from loomrow.sources import requests, tables
 from loomrow.sources.tables import BATCH, NODES, read
 
 QUERIES: dict = {}
@@ -102,7 +102,7 @@ def _placed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataF
 def _keyed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> tuple[DataFrame, DataFrame]:
     """Keys in batches and the routes of the local-first rule; both are read several times."""
     placed = checkpoint(_placed(spark, sf_dir, replicated))
-    return graph.keyed(placed, graph.batches(placed, BATCH)), routing.local_first(placed, NODES).select("tx", "node")
+    return checkpoint(graph.keyed(placed, graph.batches(placed, BATCH))), checkpoint(routing.local_first(placed, NODES).select("tx", "node"))
 
 
 # --- placement and read/write sets
@@ -366,7 +366,21 @@ def route_local_first(spark, sf_dir):
     return routing.local_first(_placed(spark, sf_dir), NODES)
 
 
-@query()
+_IN_BATCH = "in_batch as (select tx, batch, row_number() over (partition by batch order by tx) - 1 as pos from batches)"
+
+
+@query(f"""with recursive {_ACC}, {_KEYED}, {_IN_BATCH}, met as (
+    select d.batch, d.pos, s.pos as writer, case when src < 0 then -src - 1 end as home from edges e join in_batch d on d.tx = dst left join in_batch s on s.tx = src
+), each as (
+    select b.batch, b.pos, coalesce(list(writer) filter (writer is not null), []) as writers, [count(*) filter (home = 0), count(*) filter (home = 1), count(*) filter (home = 2), count(*) filter (home = 3)] as homes
+    from in_batch b left join met using (batch, pos) group by all
+), step as (
+    select distinct batch, 0::bigint as pos, []::integer[] as route from batches
+    union all
+    select s.batch, s.pos + 1, list_append(route, list_position(n, list_max(n)) - 1)
+    from (select s.batch, s.pos, route, list_transform([0, 1, 2, 3], lambda p: homes[p + 1] + len(list_filter(writers, lambda w: route[w + 1] = p))) as n from step s join each using (batch, pos)) s
+)
+select b.batch, b.tx, route[b.pos + 1]::integer as node from in_batch b join step s on s.batch = b.batch join (select batch, max(pos) + 1 as n from in_batch group by batch) t on t.batch = s.batch and t.n = s.pos""")
 def route_cost(spark, sf_dir):
     """Routes by cost inside batches."""
     return routing.cost_routes(_keyed(spark, sf_dir)[0], NODES)
@@ -438,6 +452,16 @@ def request_log(spark, sf_dir):
     return log.groupBy("pid", "client_id").agg(F.count(F.lit(1)).alias("requests"), F.min("tx").alias("first_tx"), F.max("tx").alias("last_tx"))
 
 
+@query(f"with {_EVENTS} select tx, client_id, conn_id, pid, k::varchar as k, value::integer as cents from (select * replace (floor(value) as value) from log) where pid <> 1")
+def stored_log(spark, sf_dir):
+    """Requests that write, with their parameters, as read back from the stored log."""
+    whole = F.floor("value").cast("string")
+    log = tables.event_log(spark, sf_dir).withColumn("params", F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("cents"), whole))
+    path = scratch(spark, "request-log")
+    requests.write_log(log, path, read_only=(1,))
+    return requests.read_log(spark, path).select("tx", "client_id", "conn_id", "pid", F.col("params")["k"].alias("k"), F.col("params")["cents"].cast("int").alias("cents"))
+
+
 # --- conflicts
 
 _LOCKS = f"{_ACC}, locks as (select tx, tbl, k, case when bool_or(op <> 'R') then 'X' else 'S' end as mode from acc group by tx, tbl, k)"
@@ -469,7 +493,17 @@ def lock_compatibility(spark, sf_dir):
     return conflicts.compatibility(spark)
 
 
-@query()
+@query(f"""with recursive {_LOCKS}, batches as (
+    select tx, floor((row_number() over (order by tx) - 1) / 10)::bigint as batch from (select distinct tx from acc)
+), {_IN_BATCH}, held as (select batch, pos, tbl, k, mode from locks join in_batch using (tx)), each as (
+    select i.batch, i.pos, coalesce(list(distinct b.pos) filter (b.pos is not null), []) as behind
+    from in_batch i left join held a using (batch, pos) left join held b on b.batch = a.batch and b.tbl = a.tbl and b.k = a.k and b.pos < a.pos and (a.mode = 'X' or b.mode = 'X') group by all
+), step as (
+    select distinct batch, 0::bigint as pos, []::integer[] as levels from batches
+    union all
+    select s.batch, s.pos + 1, list_append(levels, coalesce(list_max(list_transform(behind, lambda p: levels[p + 1])), -1) + 1) from step s join each using (batch, pos)
+)
+select b.batch, b.tx, levels[b.pos + 1]::integer as level from in_batch b join step s on s.batch = b.batch join (select batch, max(pos) + 1 as n from in_batch group by batch) t on t.batch = s.batch and t.n = s.pos""")
 def dependency_levels(spark, sf_dir):
     """Which transactions of a batch can run side by side."""
     acc = checkpoint(tables.order_accesses(spark, sf_dir))
@@ -618,6 +652,40 @@ def background_push(spark, sf_dir):
     return found.select("c_custkey", "c_acctbal", "chunk", "src", "dest")
 
 
+@query(f"with {_ACC}, {_MOVES}, used as (select distinct tbl, k from placed) select tbl, k, src, dest from used left join moves using (tbl, k)")
+def moving_keys(spark, sf_dir):
+    """Which of the used keys are on the move, and between which ends."""
+    used = _placed(spark, sf_dir).select("tbl", "k").distinct()
+    return migration.containing_range(used, tables.customer_moves(spark, sf_dir).withColumn("range_no", F.col("push_order")))
+
+
+@query(f"with {_MOVES} select tbl, k, src, dest from moves where src <> 0 or k % 3 = 0")
+def still_to_push(spark, sf_dir):
+    """Keys that are left when the ranges from partition 0 are cut to every third key."""
+    moves = tables.customer_moves(spark, sf_dir).select("src", "dest", "tbl", "k")
+    return migration.remaining(moves, moves.where("src = 0 and k % 3 = 0")).select("tbl", "k", "src", "dest")
+
+
+@query(f"with {_MOVES}, done as (select src, dest, max(k) as finish_tx from moves group by src, dest) select finish_tx, (select count(*) from done) - row_number() over (order by finish_tx, src, dest) as ranges_left from done")
+def ranges_left(spark, sf_dir):
+    """The count-down of ranges whose moves have finished."""
+    moves = tables.customer_moves(spark, sf_dir)
+    return migration.ranges_left(moves, moves.groupBy("src", "dest").agg(F.max("k").alias("finish_tx")))
+
+
+@query(f"with {_MOVES}, older as (select 'customer' as tbl, c_custkey as k, 3 as dest from customer where c_custkey % 15 = 0) select tbl, k, coalesce(m.dest, o.dest)::integer as dest from older o full join moves m using (tbl, k)")
+def override_map(spark, sf_dir):
+    """Explicit places after a migration, the new ones first."""
+    older = read(spark, sf_dir, "customer").where("c_custkey % 15 = 0").select(F.lit("customer").alias("tbl"), F.col("c_custkey").alias("k"), F.lit(3).alias("dest"))
+    return migration.new_overrides(older, tables.customer_moves(spark, sf_dir))
+
+
+@query(f"with {_MOVES} select (row_number() over (order by k, tbl) - 1)::bigint as plan, tbl, k, src, dest from moves")
+def key_plans(spark, sf_dir):
+    """One plan for each moving key."""
+    return migration.single_key_plans(tables.customer_moves(spark, sf_dir))
+
+
 # --- heat and new placements
 
 
@@ -641,13 +709,13 @@ def _heat(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(f"with {_ACC}, {_NODES}, {_HEAT} select part, local_load, cross_load, total_load from loads")
 def partition_heat(spark, sf_dir):
     """The load of every partition."""
-    return repartition.partition_heat(*_heat(spark, sf_dir), NODES)
+    return repartition.partition_loads(_placed(spark, sf_dir), NODES)
 
 
-@query(f"with {_ACC}, {_NODES}, {_HEAT} select (select avg(total_load) * 1.01 from loads)::double as threshold, (select min(part) from loads where total_load > (select avg(total_load) * 1.01 from loads))::integer as overloaded")
+@query(f"with {_ACC}, {_NODES}, {_HEAT} select (select avg(total_load) from loads)::double as threshold, (select min(part) from loads where total_load > (select avg(total_load) from loads))::integer as overloaded")
 def overload_threshold(spark, sf_dir):
     """The load above which a partition gives keys away, and the first one there."""
-    return repartition.overload_threshold(repartition.partition_heat(*_heat(spark, sf_dir), NODES), 1.01)
+    return repartition.overload_threshold(repartition.partition_loads(_placed(spark, sf_dir), NODES), 1.0)
 
 
 @query(f"with {_ACC}, {_NODES}, {_HEAT} select part, (row_number() over (partition by part order by weight desc, v))::integer as rank, v, weight from vertices qualify rank <= 10")
@@ -683,10 +751,27 @@ def metis_lines(spark, sf_dir):
     return repartition.metis_lines(*_heat(spark, sf_dir))
 
 
+@query(f"with {_ACC}, {_NODES}, {_HEAT} select v, weight, row_number() over (order by split_part(v, ':', 2)::bigint, v) as id from vertices")
+def metis_mapping(spark, sf_dir):
+    """The keys behind the vertex numbers of the METIS form."""
+    return repartition.metis_vertices(repartition.heat_vertices(_placed(spark, sf_dir)))
+
+
+@query(f"with {_ACC}, {_NODES}, {_HEAT}, ids as (select v, part, row_number() over (order by split_part(v, ':', 2)::bigint, v) as id from vertices) select v, part as src, (id % 3)::integer as dest from ids where part <> id % 3")
+def metis_moves(spark, sf_dir):
+    """The moves that a METIS result (here: the number's remainder) asks for."""
+    vertices = checkpoint(repartition.heat_vertices(_placed(spark, sf_dir)))
+    found = repartition.metis_vertices(vertices).select(F.col("id").alias("line_no"), (F.col("id") % 3).alias("part"))
+    return repartition.metis_partition(vertices, found)
+
+
 @query()
 def plan_moves(spark, sf_dir):
-    """The moves that bring every partition below the threshold."""
-    return repartition.plan_moves(*_heat(spark, sf_dir), NODES, overload=1.01, most_clumps=100)
+    """The moves that bring partitions towards the threshold, after a fifth of the parts came to partition 0."""
+    came = read(spark, sf_dir, "part").where("p_partkey % 10 in (1, 2)").select(F.lit("part").alias("tbl"), F.col("p_partkey").alias("k"), F.lit(0).alias("dest"))
+    plan = placement.OverridePlan(placement.ModuloPlan(NODES), came)
+    placed = checkpoint(plan.place(tables.order_accesses(spark, sf_dir)))
+    return repartition.plan_moves(checkpoint(repartition.heat_vertices(placed)), checkpoint(repartition.heat_edges(placed)), NODES, overload=1.03)
 
 
 @query("select -((c_custkey % 4) + 1) as sink, count(*)::bigint as n from customer group by all")
