@@ -106,15 +106,16 @@ def _with_terms(rows: DataFrame, lex: DataFrame, keys: list[str], columns: dict[
     Rows lie by the first of keys, all of which name a row; so nothing is
     shuffled unless the lexicon is too large to be broadcast.
     """
-    rest = [c for c in rows.columns if c not in keys and c not in columns.values()]
-    # one row without a term keeps those that have none
-    numbered = lambda c, i: F.transform(c, lambda h: F.struct(F.lit(i).alias("k"), h.alias("h")))
-    every = F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0).cast("long").alias("h"))), *(numbered(c, i) for i, c in enumerate(columns.values())))
-    flat = rows.select(*keys, *rest, F.inline(every))
+    rest = F.struct(*(c for c in rows.columns if c not in keys))
+    # one row without a term keeps those that have none; it alone holds the other columns, which aren't multiplied
+    made = lambda k, h, r: F.struct(F.lit(k).alias("k"), h.alias("h"), r.alias("rest"))
+    none = F.when(F.lit(False), rest)
+    numbered = lambda c, i: F.transform(c, lambda h: made(i, h, none))
+    every = F.concat(F.array(made(-1, F.lit(0).cast("long"), F.when(F.lit(True), rest))), *(numbered(c, i) for i, c in enumerate(columns.values())))
+    flat = rows.select(*keys, F.inline(every))
     hit = flat.join(_bounded(lex.select(F.col("h"), F.lit(True).alias("in"))), "h", "left").filter("in or k < 0")
-    head = [F.max(F.when(F.col("k") < 0, F.struct(*rest))).alias("head")]
     lists = [F.sort_array(F.collect_list(F.when(F.col("k") == i, F.col("h")))).alias(c) for i, c in enumerate(columns)]
-    return hit.groupBy(*keys).agg(*head, *lists).select(*keys, "head.*", *columns)
+    return hit.groupBy(*keys).agg(F.max(F.when(F.col("k") < 0, F.col("rest"))).alias("head"), *lists).select(*keys, "head.*", *columns)
 
 
 def fingerprints(docs: DataFrame, lex: DataFrame, *, few: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,9 +130,8 @@ def fingerprints(docs: DataFrame, lex: DataFrame, *, few: int = 0, id_col: str =
     other columns are ignored, whatever their names; no rows give none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hs"))
-    rows = rows.select("doc_id", "hs", _own(F.col("hs"), few).alias("own"))
     kept = rows.withColumn("row", F.monotonically_increasing_id())
-    return _with_terms(kept, lex, ["row"], {"terms": "hs"}).select("doc_id", subset_hashes(F.col("terms"), F.col("own"), max(1, few)).alias("hashes"))
+    return _with_terms(kept, lex, ["row"], {"terms": "hs"}).select("doc_id", subset_hashes(F.col("terms"), _own(F.col("hs"), few), max(1, few)).alias("hashes"))
 
 
 def _parts(docs: DataFrame) -> DataFrame:
@@ -183,12 +183,16 @@ def edited_likeness(docs: DataFrame, lex: DataFrame, *, few: int = 0, id_col: st
     rows = rows.select("part", "guest", "doc_id", "text", F.row_number().over(by).alias("place"), F.lead("text").over(by).alias("next"))
     edited = F.when(F.col("guest") == 0, F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.substr("next", F.lit(1), F.floor(n / 2).cast("int"))))
     rows = rows.select("part", "place", "guest", "doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), term_hashes(F.col("text")).alias("hs"), term_hashes(edited).alias("es"))
-    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), _own(F.col("hs"), few).alias("own"), _own(F.col("es"), few).alias("edited_own"), "hs", F.coalesce("es", F.array().cast("array<bigint>")).alias("es"))
+    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hs", F.coalesce("es", F.array().cast("array<bigint>")).alias("es"))
     rows = _with_terms(rows, lex, ["part", "place"], {"terms": "hs", "edited_terms": "es"})
-    lists = [subset_hashes(F.col(t), F.col(o), max(1, few)).alias(h) for t, o, h in (("terms", "own", "hashes"), ("edited_terms", "edited_own", "edited_hashes"))]
-    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "own", "edited_own", (F.size("terms") < few).alias("low"), (F.size("edited_terms") < few).alias("edited_low"), *lists)
+    lists = [subset_hashes(F.col(t), _own(F.col(o), few), max(1, few)).alias(h) for t, o, h in (("terms", "hs", "hashes"), ("edited_terms", "es", "edited_hashes"))]
+    rows = rows.select("part", "place", "guest", "doc_id", "n_chars", "edited_sha256", "hs", "es", (F.size("terms") < few).alias("low"), (F.size("edited_terms") < few).alias("edited_low"), *lists)
     by = Window.partitionBy("part").orderBy("place")
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("hashes", "own", "low")}).filter("guest = 0")
+    rows = rows.withColumns({"next_hashes": F.lead("hashes").over(by), "next_low": F.lead("low").over(by), "last_low": F.lag("low").over(by)})
+    # subsets of all terms are worked out for the texts that are compared by them alone
+    asked = lambda *c: F.greatest(*(F.coalesce(x, F.lit(False)) for x in c))
+    rows = rows.withColumns({"own": F.when(asked("low", "edited_low", "next_low", "last_low"), _own(F.col("hs"), few)), "edited_own": F.when(asked("low", "edited_low"), _own(F.col("es"), few))}).drop("hs", "es")
+    rows = rows.withColumn("next_own", F.lead("own").over(by)).filter("guest = 0")
     # two texts are compared by all their terms if one has few of the lexicon
     near = lambda c: F.when(F.col("low") | F.col(f"{c}_low"), likeness(F.col("own"), F.col(f"{c}_own"))).otherwise(likeness(F.col("hashes"), F.col(f"{c}_hashes")))
     return rows.select("doc_id", "n_chars", "edited_sha256", "hashes", "edited_hashes", near("edited").alias("near_edited"), near("next").alias("near_next"))
