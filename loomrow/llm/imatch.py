@@ -51,7 +51,7 @@ def lexicon(docs: DataFrame, text_col: str = "text", low: float = LOW, high: flo
     sets = docs.select(term_hashes(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("hs"))
     if by_class:
         order = lambda i: F.array_min(F.transform("hs", lambda h: F.xxhash64(h, F.lit(i))))
-        sets = sets.select(F.xxhash64(*map(order, range(3))).alias("class"), F.array_sort("hs").alias("hs"))
+        sets = sets.select(F.xxhash64(*map(order, range(3))).alias("class"), F.sort_array("hs").alias("hs"))
         sets = sets.groupBy("class").agg(F.min("hs").alias("hs"))
     # a null in front of each row's terms counts the rows, so the texts are read once
     each = F.explode(F.concat(F.array(F.lit(None).cast("long")), "hs")).alias("h")
@@ -65,10 +65,19 @@ def _bounded(lex: DataFrame) -> DataFrame:
     return F.broadcast(lex) if lex.limit(LEXICON + 1).count() <= LEXICON else lex
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _member(s: int, h: Column) -> Column:
-    e = EXPONENTS[s]
-    bits = F.shiftrightunsigned(h, (11 * s) % (64 - max(EXPONENTS))).bitwiseAND(F.lit((1 << e) - 1).cast("long"))
-    return bits == F.lit((0x9E3779B9 >> s % 16) & (1 << e) - 1).cast("long")
+    e, at = EXPONENTS[s], (11 * s) % (64 - max(EXPONENTS))
+    mask, bits = (1 << e) - 1 << at, ((0x9E3779B9 >> s % 16) & (1 << e) - 1) << at
+    return h.bitwiseAND(F.lit(mask).cast("long")) == F.lit(bits).cast("long")
+
+
+def _digits(h: Column) -> Column:
+    return F.substr(F.lower(F.lpad(F.hex(h), 16, "0")), F.lit(1), F.lit(_DIGITS))
 
 
 def subset_hashes(terms: Column, otherwise: Column, least: int = 1) -> Column:
@@ -76,20 +85,16 @@ def subset_hashes(terms: Column, otherwise: Column, least: int = 1) -> Column:
 
     A text with fewer than `least` lexicon terms has `otherwise`.
     """
-    digits = lambda x: F.substr(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit(1), F.lit(_DIGITS))
-
-    def one(s: int) -> Column:
-        kept = F.filter(terms, lambda h: _member(s, h)) if EXPONENTS[s] else terms
-        return F.when(F.size(kept) > 0, digits(F.xxhash64(kept))).otherwise(_EMPTY)
-
-    return F.when(F.size(terms) >= least, F.array(*(one(s) for s in range(len(EXPONENTS))))).otherwise(otherwise)
+    subset = lambda s: F.filter(terms, lambda h: _member(s, h)) if EXPONENTS[s] else terms
+    kept = F.array(*map(subset, range(len(EXPONENTS))))
+    each = F.transform(kept, lambda k: F.when(F.size(k) > 0, _digits(F.xxhash64(k))).otherwise(_EMPTY))
+    return F.when(F.size(terms) >= least, each).otherwise(otherwise)
 
 
 def _own(hashes: Column, few: int) -> Column:
     """What stands for a text with few lexicon terms: subsets of all its terms, or with few = 0 their one hash everywhere."""
-    every = F.array_sort(hashes)
-    whole = F.array_repeat(F.substr(F.lower(F.lpad(F.hex(F.xxhash64(every)), 16, "0")), F.lit(1), F.lit(_DIGITS)), len(EXPONENTS))
-    return subset_hashes(every, whole) if few else whole
+    whole = lambda every: F.array_repeat(_digits(F.xxhash64(every)), len(EXPONENTS))
+    return _let(F.sort_array(hashes), lambda every: subset_hashes(every, whole(every)) if few else whole(every))
 
 
 def likeness(a: Column, b: Column) -> Column:
