@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,7 +95,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") ->
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 words.setdefault(lang.as_py(), Counter()).update(text.as_py().lower().split())
-                if sum(map(len, words.values())) > 1_000_000:
+                if sum(map(len, words.values())) > 300_000:
                     flush()
         flush()
         for lang, counts in total.items():
@@ -157,6 +158,7 @@ class Labeller:
         n = np.array([len(x) for x in split], np.int64)
         order = np.argsort(-n, kind="stable")
         index = np.fromiter((i for d in order for i in map(at, split[d])), np.int64, int(n.sum()))
+        del split, new  # the words of a block are larger than all that follows
         S, letters, lengths = self._scores[index], self._letters[index], n[order]
         first = np.cumsum(lengths) - lengths
         path = self._viterbi(S, first, lengths)
@@ -228,20 +230,24 @@ def identify(docs: DataFrame, model: dict, *, keep: tuple[str, ...] = (), switch
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(shared.value, switch, scale)
-        most = max(1, 3_000_000 // max(1, len(lab.model["langs"])))
+        most = max(1, 2_000_000 // max(1, len(lab.model["langs"])))
         for batch in batches:
-            texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+            column = batch.column(batch.num_columns - 1)
+            words = [n // 4 for n in pc.fill_null(pc.utf8_length(column), 0).to_pylist()]
             low = 0
-            while low < len(texts):
+            while low < len(words):
                 high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high]) // 4 <= most):
-                    size += len(texts[high]) // 4
+                while high < len(words) and (high == low or size + words[high] <= most):
+                    size += words[high]
                     high += 1
-                found = lab.label(texts[low:high])
-                marked = [spans(t, p, lab.model["langs"]) if with_spans else None for t, (_, _, p) in zip(texts[low:high], found, strict=True)]
+                texts = [x or "" for x in column.slice(low, high - low).to_pylist()]
+                found = lab.label(texts)
+                marked = [spans(t, p, lab.model["langs"]) if with_spans else None for t, (_, _, p) in zip(texts, found, strict=True)]
+                del texts
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([x or "und" for x, _, _ in found], pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(marked, kinds)], names=out.names)
                 low = high
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("text of the row")).mapInArrow(run, out)
 
