@@ -49,6 +49,16 @@ def status(placed: DataFrame, ranges: DataFrame, migrated: DataFrame) -> DataFra
     return joined.select(*placed.columns, "src", "dest", F.coalesce(F.col("migrated_tx") < F.col("tx"), F.lit(False)).alias("is_migrated"))
 
 
+def stopped_copy(placed: DataFrame, ranges: DataFrame, start: int) -> DataFrame:
+    """status of a migration that copies everything while no transaction runs: from start on all keys have moved."""
+    return status(placed, ranges, ranges.select(*KEY, F.lit(start - 1).cast("long").alias("migrated_tx")).distinct())
+
+
+def copied_chunks(table: DataFrame, ranges: DataFrame, on: str, size: int) -> DataFrame:
+    """Rows of table that a stopped copy sends, with chunk, src and dest: all that exist, four background chunks of `size` keys at once."""
+    return table.join(chunks(ranges, 4 * size).select(F.col("k").alias(on), "chunk", "src", "dest"), on)
+
+
 def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
     """tx, node, kind, tbl, k: what each of n nodes does, for accesses with their status; replicated keys left out.
 
@@ -57,6 +67,7 @@ def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
     don't move follow their owner. Of moving ones:
 
     source_only: everything at the source.
+    stop_and_copy: everything at the source until moved, then at the destination.
     on_demand: all keys of a transaction on one way (src, dest) at the
         destination if any key it reads or updates there has moved, else at the
         source; unmoved ones it reads or updates are copied first.
@@ -76,6 +87,8 @@ def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
     elif how == "caught_up":
         homes = F.when((F.col("op") == "R") & ~F.col("is_migrated"), F.array("src", "dest")).otherwise(F.array("dest"))
         copied = touch & ~F.col("is_migrated")
+    elif how == "stop_and_copy":
+        homes, copied = F.array(F.when(F.col("is_migrated"), F.col("dest")).otherwise(F.col("src"))), F.lit(False)
     elif how == "source_only":
         homes, copied = F.array("src"), F.lit(False)
     else:
@@ -90,6 +103,14 @@ def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
     return base.unionByName(copies).distinct().select("tx", F.col("node").cast("int").alias("node"), "kind", *KEY)
 
 
+def over_time(placed: DataFrame, ranges: DataFrame, start: int, end: int) -> DataFrame:
+    """status of a migration from its start to before its end: earlier transactions find the old places, later ones the new, and nothing on the move."""
+    seen, tx = status(placed, ranges, first_touches(placed, ranges, start, end)), F.col("tx")
+    inside = (tx >= start) & (tx < end)
+    part = F.when((tx >= end) & F.col("dest").isNotNull(), F.col("dest")).otherwise(F.col("part"))
+    return seen.withColumns({"part": part, "src": F.when(inside, F.col("src")), "dest": F.when(inside, F.col("dest"))})
+
+
 def roles(sets: DataFrame, seen: DataFrame, n: int, how: str) -> DataFrame:
     """tx, node, role under a way to move data: writers are active, else the node that most reads count for (the lowest of equals).
 

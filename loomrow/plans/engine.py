@@ -12,8 +12,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrow.config import Config, Service
-from loomrow.operators import analysis, conflicts, fold, graph, placement, routing
+from loomrow.config import Config, Migration, Service
+from loomrow.operators import analysis, conflicts, fold, graph, migration, placement, routing
+from loomrow.operators.frames import checkpoint
 from loomrow.sources.requests import without_no_ops
 
 
@@ -98,6 +99,24 @@ class Engine:
         rule = "balanced" if c.service == Service.FUSED_REBALANCED else "local_first"
         return routing.fused_routes(keys, n, rule=rule, size=c.fusion_size, tolerance=c.imbalance_tolerance).where("k is null").select("tx", "node")
 
+    def migrate(self, placed: DataFrame, ranges: DataFrame, start: int, end: int, caught_up_at: int | None = None) -> tuple[DataFrame, object]:
+        """What every node does (tx, node, kind, tbl, k) while ranges move by the configured way, and the plan that holds then.
+
+        The move begins with transaction start and has ended at transaction end.
+        A crabbing one changes its phase at caught_up_at (None, or a setting of
+        caught_up that says no: never). A stopped copy has ended where it
+        begins: the plan changes at start, whatever end is.
+        """
+        c, after = self.config, placement.OverridePlan(self.plan, ranges)
+        if c.migration == Migration.STOP_AND_COPY:
+            return migration.analyse(migration.stopped_copy(placed, ranges, start), c.partitions, "stop_and_copy"), placement.VersionedPlan(((0, self.plan), (start, after)))
+        seen, later = checkpoint(migration.over_time(placed, ranges, start, end)), placement.VersionedPlan(((0, self.plan), (end, after)))
+        how = {Migration.SOURCE_ONLY: "source_only", Migration.ON_DEMAND: "on_demand", Migration.CRABBING: "crabbing"}[c.migration]
+        if c.migration != Migration.CRABBING or not c.caught_up or caught_up_at is None:
+            return migration.analyse(seen, c.partitions, how), later
+        first = migration.analyse(seen.where(F.col("tx") < caught_up_at), c.partitions, how)
+        return first.unionByName(migration.analyse(seen.where(F.col("tx") >= caught_up_at), c.partitions, "caught_up")), later
+
     def run(self, log: DataFrame, values: DataFrame) -> Results:
         """The results of a log over a table of values; transactions that abort change nothing."""
         placed = self.accesses(log)

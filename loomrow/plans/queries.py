@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from loomrow.functions.keys import Key, key_text, record_text, sink_id, truncate
 from loomrow.operators import analysis, conflicts, crud, fold, graph, migration, placement, repartition, routing, watermarks
+from loomrow.config import Config
 from loomrow.operators.frames import checkpoint, scratch
+from loomrow.plans.engine import Engine
 from loomrow.sources import requests, tables
 from loomrow.sources.tables import BATCH, NODES, read
 
@@ -567,6 +569,20 @@ def source_only_sets(spark, sf_dir):
     return migration.analyse(_seen(spark, sf_dir), NODES, "source_only")
 
 
+@query(_ways("[case when tx >= (select a from period) then dest else src end]", "false"))
+def stop_and_copy_sets(spark, sf_dir):
+    """Reads and writes of all nodes when everything is copied at once, before the first transaction of the period."""
+    placed, moves = checkpoint(_placed(spark, sf_dir)), tables.customer_moves(spark, sf_dir)
+    return migration.analyse(migration.stopped_copy(placed, moves, tables.order_period(spark, sf_dir)[0]), NODES, "stop_and_copy")
+
+
+@query(f"with {_MOVES}, chunked as (select k, src, dest, ((row_number() over (partition by src, dest order by push_order) - 1) // 20)::bigint as chunk from moves) select c_custkey, c_acctbal, chunk, src, dest from customer join chunked on c_custkey = k")
+def stop_and_copy_rows(spark, sf_dir):
+    """Rows that are copied at once, in chunks of four times five keys."""
+    found = migration.copied_chunks(read(spark, sf_dir, "customer"), tables.customer_moves(spark, sf_dir), "c_custkey", 5)
+    return found.select("c_custkey", "c_acctbal", "chunk", "src", "dest")
+
+
 @query(_ways("[src, dest]", "not is_migrated"))
 def crabbing_reads(spark, sf_dir):
     """Reads and writes of all nodes while both ends run moving keys."""
@@ -579,6 +595,18 @@ def caught_up_reads(spark, sf_dir):
     return migration.analyse(_seen(spark, sf_dir), NODES, "caught_up")
 
 
+@query(_ways(
+    "case when tx < (select (a + z) // 2 from period) or (op = 'R' and not is_migrated) then [src, dest] else [dest] end",
+    "not is_migrated",
+    ", joined as (select * replace (case when tx >= (select z from period) then coalesce(dest, part) else part end as part, case when tx >= (select a from period) and tx < (select z from period) then src end as src, case when tx >= (select a from period) and tx < (select z from period) then dest end as dest) from seen)",
+))
+def live_migration_sets(spark, sf_dir):
+    """Reads and writes of all nodes before, in both phases of, and after a migration that the engine runs."""
+    start, end = tables.order_period(spark, sf_dir)
+    engine = Engine(spark, Config(partitions=NODES))
+    return engine.migrate(checkpoint(_placed(spark, sf_dir)), tables.customer_moves(spark, sf_dir), start, end, (start + end) // 2)[0]
+
+
 @query(_ways("[spot]", "spot = dest and not is_migrated", ", joined as (select s.*, case when bool_or(is_migrated) over (partition by tx, src, dest) then dest else src end as spot from seen s)"))
 def on_demand_paths(spark, sf_dir):
     """Reads and writes of all nodes when a transaction's moving keys run at one end."""

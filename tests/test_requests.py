@@ -8,7 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from loomrow.config import Config, Service
+from loomrow.config import Config, Migration, Service
 from loomrow.operators import analysis, conflicts, fold, graph, migration, placement, repartition, routing, watermarks
 from loomrow.plans.engine import Engine, Procedure
 from loomrow.sources import graphs, requests
@@ -252,7 +252,7 @@ def test_moving_keys_against_rules(spark, placed, acc):
             want[t, k] = min(tx, want.get((t, k), tx))
     assert first == want
     seen = migration.status(placed, moves(spark), migration.first_touches(placed, moves(spark), 30, 90)).cache()
-    for how in ("source_only", "crabbing", "caught_up", "on_demand"):
+    for how in ("stop_and_copy", "source_only", "crabbing", "caught_up", "on_demand"):
         rows = set()
         for tx, mine in by_tx(acc).items():
             moved = lambda t, k: first.get((t, k), 1 << 60) < tx  # noqa: B023, E731
@@ -267,7 +267,7 @@ def test_moving_keys_against_rules(spark, placed, acc):
                 if (t, k) in going:
                     s, d = going[t, k]
                     fresh = op in "RU" and not moved(t, k)
-                    home, copied = {"source_only": ({s}, False), "crabbing": ({s, d}, fresh), "caught_up": ({s, d} if op == "R" and not moved(t, k) else {d}, fresh), "on_demand": ({d} if way[s, d] else {s}, fresh and way[s, d])}[how]
+                    home, copied = {"stop_and_copy": ({d} if moved(t, k) else {s}, False), "source_only": ({s}, False), "crabbing": ({s, d}, fresh), "caught_up": ({s, d} if op == "R" and not moved(t, k) else {d}, fresh), "on_demand": ({d} if way[s, d] else {s}, fresh and way[s, d])}[how]
                     if copied:
                         rows |= {(tx, s, "copy_out", t, k), (tx, d, "copy_in", t, k)}
                 for node in range(N) if op == "R" else home:
@@ -277,6 +277,21 @@ def test_moving_keys_against_rules(spark, placed, acc):
         migration.analyse(seen, N, "by magic")
 
 
+def test_engine_migrates_by_the_configured_way(spark, placed):
+    last = placed.where("tx >= 90")
+    for way in Migration:
+        engine = Engine(spark, Config(migration=way), placement.ModuloPlan(N, ("r",)))
+        sets, plan = engine.migrate(placed, moves(spark), 30, 90, 60)
+        new = {(r.tx, r.tbl, r.k): r.part for r in plan.place(last.select("tx", "seq", "tbl", "k", "op")).where("not replicated").collect()}
+        writes = {(r.tx, r.tbl, r.k): r.node for r in sets.where("kind = 'update' and tx >= 90").collect()}
+        assert writes and all(new[x] == node for x, node in writes.items())
+        before = {(r.tx, r.node, r.tbl, r.k) for r in sets.where("tx < 30 and kind = 'local_read'").collect()}
+        assert before == {(r.tx, r.part, r.tbl, r.k) for r in placed.where("tx < 30 and op = 'R' and not replicated").collect()}
+        # on demand, a key is copied only for a transaction that also names a moved one on the same way
+        if way != Migration.ON_DEMAND:
+            assert (sets.where("kind = 'copy_in'").count() > 0) == (way == Migration.CRABBING)
+
+
 def test_moves(spark):
     df = lambda rows: spark.createDataFrame([("a", k, i, s, d) for k, i, s, d in rows], "tbl string, k long, step int, src int, dest int")
     got = migration.merge_routes(df([(1, 0, 0, 1), (1, 1, 1, 2), (2, 0, 0, 1), (2, 1, 1, 0), (3, 0, 2, 3)]))
