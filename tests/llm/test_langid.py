@@ -1,7 +1,10 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from loomrow.llm import langid
 
@@ -54,3 +57,75 @@ def test_mixed_language_text_gets_spans(spark):
     text = "gato perro mesa casa llave, дом кот  стол\nhouse think whale dog house"
     r = langid.identify(spark.createDataFrame([(text,)], "text string"), model, with_spans=True, switch=3.0).first()
     assert [(text[s.start : s.end].split()[0], s.lang) for s in r.spans] == [("gato", "es"), ("дом", "ru"), ("house", "en")]
+
+
+class Handed(Exception):
+    pass
+
+
+def handed(call, docs, monkeypatch):
+    """The function that call hands to the workers, and the columns they get."""
+
+    def stop(self, run, *_, **__):
+        raise Handed(run, self.columns)
+
+    with monkeypatch.context() as m, pytest.raises(Handed) as e:
+        m.setattr(type(docs), "mapInArrow", stop)
+        call(docs)
+    return e.value.args
+
+
+def peak_mb(call):
+    tracemalloc.start()
+    try:
+        found = call()
+        return found, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def new_words(texts, words, chars):
+    rng = np.random.default_rng(3)
+    return [" ".join(bytes(w).decode() for w in rng.integers(97, 123, (words, chars), np.uint8)) for _ in range(texts)]
+
+
+def test_counting_takes_little_memory(spark, monkeypatch):
+    run, _ = handed(langid.train, spark.createDataFrame([], "text string, lang string"), monkeypatch)
+    # many different words, and texts that are one long word each
+    for texts in (new_words(200, 1500, 10), new_words(100, 1, 40_000)):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["xx"] * len(texts))], names=["text", "lang"])
+        got, mb = peak_mb(lambda batch=batch: list(run(iter([batch]))))
+        counts = np.zeros(langid.BUCKETS + len(langid.SCRIPTS), np.int64)
+        for key, data in zip(*(itertools.chain(*(b.column(i).to_pylist() for b in got)) for i in (0, 1)), strict=True):
+            part = np.frombuffer(data, "<i8")
+            counts[int(key.split(":")[0]) :][: len(part)] += part
+        want = sum(np.bincount(langid.grams(t.split())[0], minlength=langid.BUCKETS) for t in texts)
+        assert (counts[: langid.BUCKETS] == want).all() and counts[langid.BUCKETS :].sum() == sum(len("".join(t.split())) for t in texts)
+        assert mb < 60, mb
+
+
+def test_labelling_takes_little_memory(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    model = {"langs": ["a", "b"], "log": np.log(rng.random((langid.BUCKETS, 2))).astype(np.float32), "allowed": np.ones((len(langid.SCRIPTS), 2), bool)}
+    langid.grams(["a"])
+    for texts in (new_words(240, 1000, 10), new_words(100, 2, 40_000)):
+        lab = langid.Labeller(model, 8.0, 0.5)
+        blocks = [texts[i : i + 60] for i in range(0, len(texts), 60)]
+        got, mb = peak_mb(lambda lab=lab, blocks=blocks: [x[:2] for b in blocks for x in lab.label(b)])
+        assert got == [langid.Labeller(model, 8.0, 0.5).label([t])[0][:2] for t in texts]
+        assert mb < 60, mb
+
+
+def test_a_kept_text_goes_to_the_workers_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two", 5), (2, None, 6)], "doc_id long, text string, number long")
+    model = langid.train(spark.createDataFrame([("one two three", "en")], "text string, lang string"))
+    for keep in (("doc_id", "text", "number"), ("text",), ("number", "text")):
+        _, columns = handed(lambda df, keep=keep: langid.identify(df, model, keep=keep), docs, monkeypatch)
+        assert columns == list(keep)
+        got = langid.identify(docs, model, keep=keep).orderBy(langid.F.desc("text")).collect()
+        assert [(r.text, r.lang_pred) for r in got] == [("one two", "en"), (None, "und")] and got[0].asDict().get("number", 5) == 5
+    # other kinds, and texts that are not kept, are turned into a column of their own
+    for keep, text_col in (("doc_id",), "text"), (("number",), "number"):
+        got = langid.identify(docs, model, keep=keep, text_col=text_col).collect()
+        assert sorted(r.lang_pred for r in got) == (["en", "und"] if text_col == "text" else ["und", "und"])
+        assert got[0].asDict().keys() == {*keep, "lang_pred", "score", "spans"}
