@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import groupby, islice
 
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """The rows of df from the shared folder; what made them is not run again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows of df from the shared folder; what made them is not run again.
+
+    They are written as columns: a tenth of what rows as Java objects take, and
+    later steps read only what they ask for.
+    """
+    path = scratch(df.sparkSession, "rows")
+    df.write.option("parquet.block.size", 1 << 24).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -51,50 +58,80 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def numbered(df: DataFrame, order: str, name: str, *, within: Sequence[str] = (), ties: Sequence[str] = (), rows: int = ROWS_A_WINDOW) -> DataFrame:
     """Adds name: row numbers from 0 by the numeric column order (not null), then ties, inside each group of within.
 
-    Rows are cut into ranges of order by approximate quantiles; each range is
-    numbered by itself and raised by the counts of those before it, so no task
-    sorts more than about `rows` rows, however large a group is.
+    Groups of up to `rows` rows are numbered whole. Larger ones are cut into
+    ranges of order by approximate quantiles; each range is numbered by itself
+    and raised by the counts of those before it, so no task sorts more than
+    about `rows` rows of a group, however large it is.
     """
-    by = Window.partitionBy(*within, "range of order").orderBy(order, *ties)
-    parted, ranges = _ranged(df, order, rows)
+    return _by_size(df, within, rows, lambda part, cut: _numbered(part, order, name, within, ties, rows, cut))
+
+
+def _numbered(df: DataFrame, order: str, name: str, within: Sequence[str], ties: Sequence[str], rows: int, cut: bool) -> DataFrame:
+    parted, ranges = _ranged(df, order, rows) if cut else (df, 1)
     if ranges == 1:
-        return parted.withColumn(name, (F.row_number().over(by) - 1).cast("long")).drop("range of order")
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*within).orderBy(order, *ties)) - 1).cast("long"))
+    by = Window.partitionBy(*within, "range of order").orderBy(order, *ties)
     counts = parted.groupBy(*within, "range of order").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(*within).orderBy("range of order").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*within, "range of order", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows before"))
-    out = parted.join(counts, [*within, "range of order"]).withColumn(name, F.row_number().over(by) - 1 + F.col("rows before"))
+    counts = counts.select(*(F.col(c).alias(f"of {c}") for c in within), F.col("range of order").alias("of range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows before"))
+    out = parted.join(counts, _of(parted, counts, within)).withColumn(name, F.row_number().over(by) - 1 + F.col("rows before"))
     return out.select(*df.columns, F.col(name).cast("long").alias(name))
 
 
+def _of(parted: DataFrame, table: DataFrame, within: Sequence[str]) -> list[Column]:
+    return [parted[c].eqNullSafe(table[f"of {c}"]) for c in within] + [parted["range of order"] == table["of range"]]
+
+
+def _by_size(df: DataFrame, within: Sequence[str], rows: int, f: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """f of the groups that one window can take, and f with ranges of the larger ones; of these there are fewer than one in `rows` rows."""
+    if not within:
+        return f(df, True)
+    found = df.groupBy(*within).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows).select(*(F.col(c).alias(f"large {c}") for c in within))
+    large = found.collect()
+    if not large:
+        return f(df, False)
+    table = F.broadcast(df.sparkSession.createDataFrame(large, found.schema))
+    same = [df[c].eqNullSafe(table[f"large {c}"]) for c in within]
+    return f(df.join(table, same, "left_anti"), False).unionByName(f(df.join(table, same, "left_semi"), True))
+
+
 def _ranged(df: DataFrame, order: str, rows: int) -> tuple[DataFrame, int]:
-    """df with its range of the order, and how many ranges there are."""
+    """df with its range of the order, found by bisection, and how many ranges there are."""
     ranges = max(1, -(-df.count() // rows))
     if ranges == 1:
-        return df.withColumn("range of order", F.lit(0)), 1
+        return df, 1
     marks = df.agg(F.percentile_approx(F.col(order), [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    return df.withColumn("range of order", F.size(F.filter(F.array(*map(F.lit, sorted(set(marks)))), lambda x: x <= F.col(order)))), ranges
+    splits = [-math.inf, *sorted({float(x) for x in marks}), math.inf]
+    cut = Bucketizer(splits=splits, inputCol="order as double", outputCol="range of order", handleInvalid="keep")
+    return cut.transform(df.withColumn("order as double", F.col(order).cast("double"))).drop("order as double"), ranges
 
 
 def surrounding(df: DataFrame, order: str, *, before: Mapping[str, Column] | None = None, after: Mapping[str, Column] | None = None, upto: Mapping[str, Column] | None = None, within: Sequence[str] = (), rows: int = ROWS_A_WINDOW) -> DataFrame:
     """Adds columns by name: the largest value among earlier rows (before), earlier rows and its own (upto), the least among later rows (after).
 
-    The order is a numeric column without ties inside a group of within. Rows
-    are cut into ranges like numbered, so few or hot groups don't make large
-    tasks; what other ranges give comes from a small table.
+    The order is a numeric column without ties inside a group of within. Large
+    groups are cut into ranges like numbered, so few or hot groups don't make
+    large tasks; what other ranges give comes from a small table.
     """
-    before, after, upto = before or {}, after or {}, upto or {}
-    parted, ranges = _ranged(df, order, rows)
+    return _by_size(df, within, rows, lambda part, cut: _surrounding(part, order, before or {}, after or {}, upto or {}, within, rows, cut))
+
+
+def _surrounding(df: DataFrame, order: str, before: Mapping[str, Column], after: Mapping[str, Column], upto: Mapping[str, Column], within: Sequence[str], rows: int, cut: bool) -> DataFrame:
+    parted, ranges = _ranged(df, order, rows) if cut else (df, 1)
     high = {**before, **upto}
     parted = parted.withColumns({f"value of {n}": v for n, v in {**high, **after}.items()})
-    own = Window.partitionBy(*within, "range of order").orderBy(order)
+    own = Window.partitionBy(*within, *["range of order"] * (ranges > 1)).orderBy(order)
     frame = lambda n: own.rowsBetween(Window.unboundedPreceding, 0 if n in upto else -1)
-    found = {n: F.max(f"value of {n}").over(frame(n)) for n in high} | {n: F.min(f"value of {n}").over(own.rowsBetween(1, Window.unboundedFollowing)) for n in after}
+    # the rows after are those before in descending order, whose frames grow row by row too
+    last = Window.partitionBy(*within, *["range of order"] * (ranges > 1)).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.max(f"value of {n}").over(frame(n)) for n in high} | {n: F.min(f"value of {n}").over(last) for n in after}
     if ranges == 1:
         return parted.select(*df.columns, *(c.alias(n) for n, c in found.items()))
     tops = parted.groupBy(*within, "range of order").agg(*(F.max(f"value of {n}").alias(f"m {n}") for n in high), *(F.min(f"value of {n}").alias(f"m {n}") for n in after))
     by = Window.partitionBy(*within).orderBy("range of order")
     rest = [F.max(f"m {n}").over(by.rowsBetween(Window.unboundedPreceding, -1)).alias(f"r {n}") for n in high] + [F.min(f"m {n}").over(by.rowsBetween(1, Window.unboundedFollowing)).alias(f"r {n}") for n in after]
-    out = parted.join(tops.select(*within, "range of order", *rest), [*within, "range of order"])
+    tops = tops.select(*(F.col(c).alias(f"of {c}") for c in within), F.col("range of order").alias("of range"), *rest)
+    out = parted.join(tops, _of(parted, tops, within))
     both = {n: F.greatest(c, f"r {n}") if n in high else F.least(c, f"r {n}") for n, c in found.items()}
     return out.select(*df.columns, *(c.alias(n) for n, c in both.items()))
 
