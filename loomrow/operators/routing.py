@@ -15,21 +15,34 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrow.functions.keys import truncated
-from loomrow.operators.analysis import reads, transactions
 from loomrow.operators.frames import in_groups
 
 
+def _least_remote(counts: list[Column], n: int) -> Column:
+    own = F.array(*counts)
+    ties = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.when(F.get(own, p) == F.array_max(own), p)), lambda p: p.isNotNull())
+    return F.get(ties, (F.col("tx") % F.size(ties)).cast("int"))
+
+
 def local_first(placed: DataFrame, n: int) -> DataFrame:
     """tx, node, n_remote: the partition with fewest remote reads; of ties the one numbered tx modulo their count."""
-    counts = reads(placed).groupBy("tx", "tbl", "k").agg(F.first("part").alias("part")).groupBy("tx").agg(F.count(F.lit(1)).alias("total"), *(F.count(F.when(F.col("part") == p, 1)).alias(f"p{p}") for p in range(n)))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    all_ = transactions(placed).join(counts, "tx", "left").select("tx", zero("total").alias("total"), F.array(*(zero(f"p{p}") for p in range(n))).alias("own"))
-    ties = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.when(F.get("own", p) == F.array_max("own"), p)), lambda p: p.isNotNull())
-    return all_.select("tx", F.get(ties, (F.col("tx") % F.size(ties)).cast("int")).alias("node"), (F.col("total") - F.array_max("own")).alias("n_remote"))
+    read = F.expr("op = 'R' and not replicated")
+    keys = placed.groupBy("tx", "tbl", "k").agg(F.max(F.when(read, F.col("part"))).alias("part"), F.max(read).alias("rd"))
+    counts = keys.groupBy("tx").agg(F.count(F.when(F.col("rd"), 1)).alias("total"), *(F.count(F.when(F.col("rd") & (F.col("part") == p), 1)).alias(f"p{p}") for p in range(n)))
+    own = [F.col(f"p{p}") for p in range(n)]
+    return counts.select("tx", _least_remote(own, n).alias("node"), (F.col("total") - F.array_max(F.array(*own))).alias("n_remote"))
+
+
+def routed_locally(keys: DataFrame, n: int) -> DataFrame:
+    """Keys of graph.keyed with node, their transaction's route by local_first."""
+    by = Window.partitionBy("tx")
+    read = F.col("rd") & ~F.col("replicated")
+    counts = keys.withColumns({f"p{p}": F.count(F.when(read & (F.col("part") == p), 1)).over(by) for p in range(n)})
+    return counts.select(*keys.columns, _least_remote([F.col(f"p{p}") for p in range(n)], n).alias("node"))
 
 
 class Places:

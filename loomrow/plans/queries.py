@@ -101,10 +101,14 @@ def _placed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataF
     return plan.place(tables.order_accesses(spark, sf_dir, replicated))
 
 
-def _keyed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Keys in batches and the routes of the local-first rule; both are read several times."""
-    placed = checkpoint(_placed(spark, sf_dir, replicated))
-    return checkpoint(graph.keyed(placed, graph.batches(placed, BATCH))), checkpoint(routing.local_first(placed, NODES).select("tx", "node"))
+def _keyed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataFrame:
+    """Keys in batches."""
+    return graph.keyed(_placed(spark, sf_dir, replicated), graph.batches(tables.order_transactions(spark, sf_dir), BATCH))
+
+
+def _routed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataFrame:
+    """Keys in batches with the routes of the local-first rule."""
+    return routing.routed_locally(_keyed(spark, sf_dir, replicated), NODES)
 
 
 # --- placement and read/write sets
@@ -280,26 +284,25 @@ def tx_batches(spark, sf_dir):
 @query(f"with {_ACC}, {_KEYED} select batch, src, dst, tbl, k from edges")
 def read_edges(spark, sf_dir):
     """Who each read of a batch comes from."""
-    return graph.read_edges(_keyed(spark, sf_dir)[0]).select("batch", "src", "dst", "tbl", "k")
+    return graph.read_edges(_keyed(spark, sf_dir)).select("batch", "src", "dst", "tbl", "k")
 
 
 @query(f"with {_ACC}, {_KEYED} select batch, src, dst, tbl, k from edges where src >= 0")
 def write_edges(spark, sf_dir):
     """What transactions pass to later ones of their batch."""
-    return graph.write_edges(graph.read_edges(_keyed(spark, sf_dir)[0])).select("batch", "src", "dst", "tbl", "k")
+    return graph.write_edges(graph.read_edges(_keyed(spark, sf_dir))).select("batch", "src", "dst", "tbl", "k")
 
 
 @query(f"with {_ACC}, {_KEYED} select batch, src, tbl, k, part from backs")
 def writeback_edges(spark, sf_dir):
     """Who writes each key of a batch back, and where to."""
-    return graph.writeback_edges(_keyed(spark, sf_dir)[0])
+    return graph.writeback_edges(_keyed(spark, sf_dir))
 
 
 @query(f"with {_ACC_REPLICATED}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES} select batch, dst as tx, tbl, k, src_node, node from placed_edges where src < 0")
 def sink_reads(spark, sf_dir):
     """Reads from storage, replicated keys at the reader's node."""
-    keys, routes = _keyed(spark, sf_dir, True)
-    return graph.sources(graph.read_edges(keys), routes).where("src < 0").select("batch", F.col("dst").alias("tx"), "tbl", "k", "src_node", "node")
+    return graph.sources(graph.routed(_routed(spark, sf_dir, True), None)).where("rd and src < 0").select("batch", "tx", "tbl", "k", "src_node", "node")
 
 
 @query(f"""with {_ACC_REPLICATED}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES}
@@ -311,7 +314,7 @@ union all select batch, src, part, 'write_back', tbl, k, src, null from backs
 union all select batch, src, node, 'push', tbl, k, -(part + 1), part from backs join routes on tx = src where part <> node""")
 def sunk_plan_roles(spark, sf_dir):
     """What every node does for the transactions of a routed batch."""
-    return graph.sunk_plans(*_keyed(spark, sf_dir, True))
+    return graph.sunk_plans(_routed(spark, sf_dir, True))
 
 
 @query(f"""with {_ACC}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES}, does as (
@@ -321,8 +324,7 @@ def sunk_plan_roles(spark, sf_dir):
 select tx, node::integer as node, (tx, node) in (select tx, node from routes) as is_master, not bool_or(wb) as read_only from does group by tx, node""")
 def sunk_flags(spark, sf_dir):
     """Which nodes run a transaction's plan, and whether they write."""
-    keys, routes = _keyed(spark, sf_dir)
-    return graph.sunk_flags(graph.sunk_plans(keys, routes), routes)
+    return graph.sunk_flags(_routed(spark, sf_dir))
 
 
 @query(f"""with {_ACC}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES}, per as (
@@ -332,7 +334,7 @@ select p.batch, any_value(total)::bigint as n_tx, any_value(e.t)::bigint as remo
 from per p join (select batch, count(*) filter (src_node <> node and src >= 0) as t, count(*) filter (src_node <> node and src < 0) as s from placed_edges group by batch) e using (batch) group by p.batch""")
 def graph_stats(spark, sf_dir):
     """Remote reads and imbalance of every batch."""
-    return graph.statistics(*_keyed(spark, sf_dir), NODES)
+    return graph.statistics(_routed(spark, sf_dir), None, NODES)
 
 
 @query(f"""with {_ACC}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES}, per as (
@@ -341,7 +343,7 @@ def graph_stats(spark, sf_dir):
 select n.node, count(p.tx)::bigint as n_tx, count(*) filter (away > 0)::bigint as n_distributed, coalesce(count(*) filter (away > 0) / nullif(count(p.tx), 0), 0)::double as ratio, coalesce(sum(away), 0)::bigint as remote_reads from nodes n left join per p using (node) group by n.node""")
 def remote_read_ratio(spark, sf_dir):
     """Transactions, distributed ones and remote reads of every partition."""
-    return graph.partition_statistics(*_keyed(spark, sf_dir), NODES)
+    return graph.partition_statistics(_routed(spark, sf_dir), None, NODES)
 
 
 @query(f"""with {_ACC}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES}, lines as (
@@ -353,13 +355,13 @@ def remote_read_ratio(spark, sf_dir):
 select batch, row_number() over (partition by batch order by tx, g, src, dst, tbl, k)::bigint as line_no, coalesce(line, '{{Resource: {{' || tbl || ': k -> ' || k || '}} from tx.' || src || ' to tx.' || dst || '}}') as line from lines""")
 def graph_lines(spark, sf_dir):
     """The graph of every batch as text."""
-    return graph.edge_lines(*_keyed(spark, sf_dir))
+    return graph.edge_lines(_routed(spark, sf_dir))
 
 
 @query(f"with {_ACC}, {_NODES}, {_KEYED}, {_ROUTES}, {_SOURCES} select batch, src, dst, max(k) as k from (select batch, src, dst, k from placed_edges union all select batch, src, -(part + 1), k from backs) group by batch, src, dst")
 def compact_graph(spark, sf_dir):
     """One edge between any two nodes of the graph."""
-    return graph.compact_edges(*_keyed(spark, sf_dir))
+    return graph.compact_edges(_routed(spark, sf_dir))
 
 
 @query(f"with {_ACC}, {_NODES}, {_ROUTES} select tx, node, n_remote from routes")
@@ -385,19 +387,19 @@ _IN_BATCH = "in_batch as (select tx, batch, row_number() over (partition by batc
 select b.batch, b.tx, route[b.pos + 1]::integer as node from in_batch b join step s on s.batch = b.batch join (select batch, max(pos) + 1 as n from in_batch group by batch) t on t.batch = s.batch and t.n = s.pos""")
 def route_cost(spark, sf_dir):
     """Routes by cost inside batches."""
-    return routing.cost_routes(_keyed(spark, sf_dir)[0], NODES)
+    return routing.cost_routes(_keyed(spark, sf_dir), NODES)
 
 
 @query()
 def route_balanced(spark, sf_dir):
     """Routes by fewest remote reads, balanced inside batches."""
-    return routing.balanced_routes(_keyed(spark, sf_dir)[0], NODES)
+    return routing.balanced_routes(_keyed(spark, sf_dir), NODES)
 
 
 @query()
 def route_fused(spark, sf_dir):
     """Balanced routes with written records staying where they were written."""
-    return routing.fused_routes(_keyed(spark, sf_dir)[0], NODES)
+    return routing.fused_routes(_keyed(spark, sf_dir), NODES)
 
 
 @query()

@@ -18,14 +18,14 @@ def order_accesses(spark: SparkSession, sf_dir: str, replicated: bool = False) -
 
     With replicated, it also reads the customer's nation, which lies on every node.
     """
-    orders = read(spark, sf_dir, "orders")
+    # rows are dealt by transaction before they multiply; what follows by transaction needs no other shuffle
+    orders = read(spark, sf_dir, "orders").repartition("o_orderkey")
     mine = F.array(F.struct(F.lit("R").alias("op")), F.struct(F.lit("U").alias("op")))
     customers = orders.select(F.col("o_orderkey").alias("tx"), F.lit(0).alias("seq"), F.lit("customer").alias("tbl"), F.col("o_custkey").alias("k"), F.inline(mine))
     row = lambda seq, tbl, k, op: F.struct(seq.cast("int").alias("seq"), F.lit(tbl).alias("tbl"), F.col(k).alias("k"), F.lit(op).alias("op"))
     line = F.col("l_linenumber")
     each = F.array(row(line, "part", "l_partkey", "R"), row(line + 100, "supplier", "l_suppkey", "R"), F.when(line == 1, row(F.lit(0), "supplier", "l_suppkey", "U")))
-    # one pass over the lines, combined before it is moved
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"), F.explode(each).alias("a")).where("a is not null")
+    lines = read(spark, sf_dir, "lineitem").repartition("l_orderkey").select(F.col("l_orderkey").alias("tx"), F.explode(each).alias("a")).where("a is not null")
     lines = lines.groupBy("tx", "a.tbl", "a.k", "a.op").agg(F.min("a.seq").alias("seq")).select("tx", "seq", "tbl", "k", "op")
     out = customers.unionByName(lines)
     if replicated:
@@ -34,6 +34,11 @@ def order_accesses(spark: SparkSession, sf_dir: str, replicated: bool = False) -
     return out
 
 
+def order_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tx of every order or line, once."""
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tx")).unionByName(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tx"))).distinct()
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """tx, client_id, conn_id, pid, k, value: a request for each event; 1 reads, 2 and 3 update, 4 inserts, 5 aborts."""
     kind = F.col("event_type")

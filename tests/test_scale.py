@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomrow.operators import conflicts, frames
+from loomrow.operators import conflicts, frames, graph
 
 
 def plan_of(df):
@@ -32,3 +32,13 @@ def test_stored_rows_are_columns(spark):
     assert kept.dtypes == df.dtypes and kept.count() == 20000 and kept.inputFiles() and kept.inputFiles()[0].endswith(".parquet")
     got = frames.numbered(df.select("g", F.monotonically_increasing_id().alias("o")), "o", "n", within=("g",), rows=3000).groupBy("g").agg(F.max("n").alias("n"), F.count_distinct("n").alias("d")).collect()
     assert sorted((r.n, r.d) for r in got) == [(9999, 10000)] * 2
+
+
+def test_sources_need_no_join(spark):
+    """A source's node comes with it: a join by source has the storages' few numbers as hot keys."""
+    keys = spark.createDataFrame([(0, 1, "a", 5, True, True, 1, False, 2), (0, 2, "a", 5, True, False, 1, False, 3), (0, 2, "r", 7, True, False, 3, True, 3)], "batch long, tx long, tbl string, k long, rd boolean, wr boolean, part int, replicated boolean, node int")
+    found = graph.sources(graph.routed(keys, None))
+    assert "Join" not in plan_of(found) and "Join" not in plan_of(graph.sunk_flags(keys))
+    assert sorted((r.tx, r.tbl, r.src, r.src_node, r.last) for r in found.collect()) == [(1, "a", -2, 1, True), (2, "a", 1, 2, False), (2, "r", -4, 3, False)]
+    routes = keys.select("tx", "node").distinct()
+    assert sorted(map(tuple, graph.sunk_plans(keys.drop("node"), routes).collect())) == sorted(map(tuple, graph.sunk_plans(keys).collect()))
