@@ -1,10 +1,14 @@
 """Steps that must not grow faster than their input: what they read, shuffle and keep."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from loomrow.operators import conflicts, frames, graph
+from loomrow import registry
+from loomrow.operators import conflicts, frames, graph, pairs, placement, repartition
 
 
 def plan_of(df):
@@ -42,3 +46,59 @@ def test_sources_need_no_join(spark):
     assert sorted((r.tx, r.tbl, r.src, r.src_node, r.last) for r in found.collect()) == [(1, "a", -2, 1, True), (2, "a", 1, 2, False), (2, "r", -4, 3, False)]
     routes = keys.select("tx", "node").distinct()
     assert sorted(map(tuple, graph.sunk_plans(keys.drop("node"), routes).collect())) == sorted(map(tuple, graph.sunk_plans(keys).collect()))
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["clump_seed", "recv_load_delta", "metis_lines"])
+def test_questions_on_the_heat_graph_make_no_edges(spark, monkeypatch, name):
+    monkeypatch.setattr(repartition, "heat_edges", lambda placed: pytest.fail("all edges were made"))
+    assert registry.QUERIES[name](spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("wide", [1, 1 << 45, 1 << 59])
+def test_pairs_are_summed_in_pieces(spark, monkeypatch, wide):
+    """Edges by the tasks' own sums: one row a bucket and task is shuffled, not one a pair; any numbers and names."""
+    monkeypatch.setattr(pairs, "PAIRS", 50)
+    rng = random.Random(6)
+    rows = {(tx, 0, rng.choice(["a", "b", "a:b", "é"]), rng.randrange(-6, 7) * wide, rng.choice("RU")) for tx in range(40) for _ in range(rng.randrange(1, 9))} | {(99, 0, "a", k * wide, "R") for k in range(-12, 13)}
+    rows |= {(5, 0, None, 3, "R"), (5, 0, "a", None, "R"), (6, 0, "a", None, "R"), (6, 0, None, 3, "U")}
+    placed = placement.ModuloPlan(4).place(spark.createDataFrame(sorted(rows, key=str), "tx long, seq int, tbl string, k long, op string"))
+    edges = repartition.heat_edges(placed)
+    n = Counter((tx, ":".join(str(x) for x in (t, k) if x is not None)) for tx, _, t, k, _ in rows)
+    want = Counter()
+    for (tx, v), a in n.items():
+        for (other, u), b in n.items():
+            if tx == other and u != v:
+                want[v, u] += a * b
+    assert {(r.src, r.dst): r.weight for r in edges.collect()} == want
+    assert "data" in plan_of(edges) and "Generate" not in plan_of(edges)
+    some = spark.createDataFrame([(v,) for v in sorted({v for _, v in n})[:5]], "v string")
+    ours = {r.v for r in some.collect()}
+    assert {(r.src, r.dst): r.weight for r in repartition.edges_from(some, placed).collect()} == {x: w for x, w in want.items() if x[0] in ours}
+    lines = repartition.metis_graph(placed.where("k is not null and tbl is not null"))
+    clean = placed.where("k is not null and tbl is not null").cache()
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, repartition.metis_lines(repartition.heat_vertices(clean), repartition.heat_edges(clean)).collect()))
+
+
+@pytest.mark.parametrize("most", [1, 50, 1 << 21])
+def test_pairs_in_pieces_of_any_size(monkeypatch, most):
+    monkeypatch.setattr(pairs, "PAIRS", most)
+    rng = random.Random(most)
+    keys = [(tx, t, k) for tx in range(30) for t, k in sorted({(rng.choice(["+a:", "+b:"]), rng.randrange(9)) for _ in range(rng.randrange(1, 12))})]
+    of = Counter(tx for tx, _, _ in keys)
+    rows = [{"tx": tx, "bucket": hash((t, k)) % 5, "t": t, "k": k, "n": 1 + k % 2, "c": of[tx]} for tx, t, k in keys]
+    made = list(pairs._made(iter([pa.RecordBatch.from_pylist(rows[i : i + 7]) for i in range(0, len(rows), 7)]), True))
+    flat = sorted(((b, d) for x in made for b, d in zip(x["bucket"].to_pylist(), x["data"].to_pylist(), strict=True)), key=lambda x: x[0])
+    got = Counter()
+    for names, cols in pairs.summed(iter([pa.RecordBatch.from_pylist([{"bucket": b, "data": d}]) for b, d in flat])):
+        for a, ak, b, bk, w in zip(*(c.tolist() for c in cols), strict=True):
+            assert ((names[a], ak), (names[b], bk)) not in got
+            got[(names[a], ak), (names[b], bk)] = w
+    want = Counter()
+    for x in keys:
+        for y in keys:
+            if x[0] == y[0]:
+                want[x[1:], y[1:]] += 1 + x[2] % 2 if x == y else (1 + x[2] % 2) * (1 + y[2] % 2)
+    assert got == want
