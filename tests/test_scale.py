@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrow import registry
-from loomrow.operators import conflicts, frames, graph, pairs, placement, repartition
+from loomrow.operators import conflicts, frames, graph, pairs, placement, repartition, routing
 
 
 def plan_of(df):
@@ -102,3 +102,30 @@ def test_pairs_in_pieces_of_any_size(monkeypatch, most):
             if x[0] == y[0]:
                 want[x[1:], y[1:]] += 1 + x[2] % 2 if x == y else (1 + x[2] % 2) * (1 + y[2] % 2)
     assert got == want
+
+
+@pytest.mark.parametrize("rule", ["balanced", "local_first"])
+@pytest.mark.parametrize("size", [3, 1000])
+def test_fused_routes_are_those_of_the_plain_steps(spark, rule, size):
+    """Packing and unpacking are dealt over tasks; what the one task of a log gives is what fused_step does row by row."""
+    rng = random.Random(size)
+    rows = {}
+    for log in "xy":
+        for tx in range(90):
+            for _ in range(rng.randrange(1, 8)):
+                t = rng.choice("aabrs")
+                k = rng.randrange(-4, 12) * (1 << 58 if t == "s" else 1)
+                rows[log, tx // 5, tx, t, k] = (rng.random() < 0.8, t != "b" and rng.random() < 0.4, k % 4, t == "r")
+    keys = spark.createDataFrame([(*a, *b) for a, b in rows.items() if b[0] or b[1]], "log string, batch long, tx long, tbl string, k long, rd boolean, wr boolean, part int, replicated boolean").repartition(3)
+    got = Counter(tuple(r) for r in routing.fused_routes(keys, 4, rule=rule, size=size, log="log").collect())
+    want = Counter()
+    plain = sorted(r.asDict().items() for r in keys.collect())
+    by = {}
+    for r in map(dict, plain):
+        by.setdefault((r["log"], r["batch"]), []).append(r)
+    table = {log: routing.FusionTable(size) for log in "xy"}
+    for (log, batch), mine in sorted(by.items()):
+        route, moves = routing.fused_step(table[log], sorted(mine, key=lambda r: (r["tx"], r["tbl"], r["k"])), 4, rule)
+        want.update((batch, tx, node, *[None] * 6) for tx, node in route.items())
+        want.update((batch, m["tx"], route[m["tx"]], *(m[c] for c in ("tbl", "k", "src", "dest", "cache_insert", "cache_delete"))) for m in moves)
+    assert got == want
