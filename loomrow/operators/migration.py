@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrow.operators.analysis import KINDS, lowest_most_reads_node
-from loomrow.operators.frames import numbered, small
+from loomrow.operators.analysis import KINDS
+from loomrow.operators.frames import BROADCAST_ROWS, checkpoint, numbered, small
 
 KEY = ("tbl", "k")
 
@@ -37,16 +37,36 @@ def remaining(unmigrated: DataFrame, still_to_push: DataFrame) -> DataFrame:
     return kept.unionByName(unmigrated.join(F.broadcast(touched), ["src", "dest"], "left_anti").select(*kept.columns))
 
 
+def _names(keys: DataFrame) -> list[str]:
+    return [r.tbl for r in keys.select("tbl").distinct().collect()]
+
+
+def _of_tables(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows of the tables that have keys on the move, and all others."""
+    inside = F.coalesce(F.col("tbl").isin(names), F.lit(False))
+    return rows.where(inside), rows.where(~inside)
+
+
 def first_touches(placed: DataFrame, ranges: DataFrame, start: int, end: int, ops: Sequence[str] = ("R", "U")) -> DataFrame:
     """tbl, k, migrated_tx: the first transaction from start to before end that touches a key on the move (its foreground copy)."""
     inside = placed.where((F.col("tx") >= start) & (F.col("tx") < end) & F.col("op").isin(*ops))
-    return inside.join(small(ranges.select(*KEY).distinct()), list(KEY), "left_semi").groupBy(*KEY).agg(F.min("tx").alias("migrated_tx"))
+    return _of_tables(inside, _names(ranges))[0].groupBy(*KEY).agg(F.min("tx").alias("migrated_tx")).join(small(ranges.select(*KEY).distinct()), list(KEY), "left_semi")
 
 
 def status(placed: DataFrame, ranges: DataFrame, migrated: DataFrame) -> DataFrame:
-    """placed with src, dest (null: not on the move) and is_migrated, as its transaction finds them."""
-    joined = placed.join(small(ranges.select(*KEY, "src", "dest")), list(KEY), "left").join(migrated, list(KEY), "left")
-    return joined.select(*placed.columns, "src", "dest", F.coalesce(F.col("migrated_tx") < F.col("tx"), F.lit(False)).alias("is_migrated"))
+    """placed with src, dest (null: not on the move) and is_migrated, as its transaction finds them.
+
+    Only rows of tables with such keys are joined, and then dealt by transaction
+    like the others.
+    """
+    keys = checkpoint(ranges.select(*KEY, "src", "dest").join(migrated.select(*KEY, "migrated_tx"), list(KEY), "full"))
+    here, rest = _of_tables(placed, _names(keys))
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = here.join(F.broadcast(keys) if few else keys, list(KEY), "left")
+    found = joined.select(*placed.columns, "src", "dest", F.coalesce(F.col("migrated_tx") < F.col("tx"), F.lit(False)).alias("is_migrated"))
+    types = dict(keys.dtypes)
+    none = rest.select(*placed.columns, *(F.lit(None).cast(types[c]).alias(c) for c in ("src", "dest")), F.lit(False).alias("is_migrated"))
+    return (found if few else found.repartition("tx")).unionByName(none)
 
 
 def stopped_copy(placed: DataFrame, ranges: DataFrame, start: int) -> DataFrame:
@@ -59,7 +79,7 @@ def copied_chunks(table: DataFrame, ranges: DataFrame, on: str, size: int) -> Da
     return table.join(chunks(ranges, 4 * size).select(F.col("k").alias(on), "chunk", "src", "dest"), on)
 
 
-def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
+def analyse(seen: DataFrame, n: int, how: str, remote: bool = True) -> DataFrame:
     """tx, node, kind, tbl, k: what each of n nodes does, for accesses with their status; replicated keys left out.
 
     kind is local_read, remote_read, update, insert, delete, copy_out (the
@@ -74,8 +94,13 @@ def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
     crabbing: reads and writes at both ends; unmoved ones read or updated are copied.
     caught_up: reads at the destination, and at the source until moved; writes
         at the destination; unmoved ones read or updated are copied.
+
+    Without remote, remote reads are left out.
     """
     rows = seen.where("not replicated").select("tx", *KEY, "op", "part", "src", "dest", "is_migrated").distinct()
+    # keys that don't move need no more than that to be distinct
+    still = rows.where("src is null").withColumn("homes", F.array("part"))
+    rows = rows.where("src is not null")
     moving, touch = F.col("src").isNotNull(), F.col("op").isin("R", "U")
     if how == "on_demand":
         ways = rows.where(moving & touch).groupBy("tx", "src", "dest").agg(F.max("is_migrated").alias("at_dest"))
@@ -94,13 +119,13 @@ def analyse(seen: DataFrame, n: int, how: str) -> DataFrame:
     else:
         raise ValueError(f"no such way to move data: {how}")
     rows = rows.withColumns({"homes": F.when(moving, homes).otherwise(F.array("part")), "copied": moving & copied})
-    nodes = F.when(F.col("op") == "R", F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.col("homes"))
+    nodes = F.when(F.col("op") == "R", F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.col("homes")) if remote else F.col("homes")
     kind = F.when(F.col("op") == "R", F.when(F.array_contains("homes", F.col("node")), "local_read").otherwise("remote_read"))
     for op, name in KINDS.items():
         kind = kind.when(F.col("op") == op, name)
-    base = rows.withColumn("node", F.explode(nodes)).select("tx", "node", kind.alias("kind"), *KEY)
+    given = lambda of: of.withColumn("node", F.explode(nodes)).select("tx", F.col("node").cast("int").alias("node"), kind.alias("kind"), *KEY)
     copies = rows.where("copied").select("tx", *KEY, F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit("copy_out").alias("kind")), F.struct(F.col("dest").alias("node"), F.lit("copy_in").alias("kind")))))
-    return base.unionByName(copies).distinct().select("tx", F.col("node").cast("int").alias("node"), "kind", *KEY)
+    return given(still).unionByName(given(rows).unionByName(copies).distinct())
 
 
 def over_time(placed: DataFrame, ranges: DataFrame, start: int, end: int) -> DataFrame:
@@ -117,18 +142,23 @@ def roles(sets: DataFrame, seen: DataFrame, n: int, how: str) -> DataFrame:
     In caught_up a moving key's read counts for the destination, else for every
     node where it is local.
     """
-    reads = sets.where("kind = 'local_read'")
+    read = F.col("kind") == "local_read"
     if how == "caught_up":
         moving = seen.where("op = 'R' and src is not null").select("tx", *KEY, F.col("dest")).distinct()
-        reads = reads.join(moving, ["tx", *KEY], "left").where("dest is null or dest = node")
-    writers = sets.where(F.col("kind").isin(*KINDS.values())).select("tx", "node").distinct()
-    txs = seen.select("tx").distinct()
-    most = txs.join(lowest_most_reads_node(reads.groupBy("tx", "node").agg(F.count(F.lit(1)).alias("n"))), "tx", "left").select("tx", F.coalesce("node", F.lit(0)).alias("node"))
-    active = writers.unionByName(most.join(writers.select("tx").distinct(), "tx", "left_anti")).withColumn("a", F.lit(2))
-    passive = sets.where(F.col("kind").isin("local_read", "copy_out")).select("tx", "node").distinct().withColumn("a", F.lit(1))
-    every = txs.select("tx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("node")).withColumn("a", F.lit(0))
-    level = active.unionByName(passive).unionByName(every).groupBy("tx", "node").agg(F.max("a").alias("a"))
-    return level.select("tx", F.col("node").cast("int").alias("node"), F.element_at(F.array(*map(F.lit, ("IGNORE", "PASSIVE", "ACTIVE"))), F.col("a") + 1).alias("role"))
+        sets = sets.join(moving, ["tx", *KEY], "left")
+        counts = read & (F.col("dest").isNull() | (F.col("dest") == F.col("node")))
+    else:
+        counts = read
+    each = sets.groupBy("tx", "node").agg(F.count(F.when(counts, 1)).alias("n"), F.max(F.col("kind").isin(*KINDS.values())).alias("w"), F.max(F.col("kind").isin("local_read", "copy_out")).alias("p"))
+    order = F.when(F.col("n") > 0, F.struct(-F.col("n"), "node"))
+    some = lambda c: F.collect_set(F.when(F.col(c), F.col("node"))).alias(c)
+    one = each.groupBy("tx").agg(F.min_by("node", order).alias("most"), some("w"), some("p"))
+    none = F.array().cast("array<int>")
+    every = seen.select("tx").distinct().join(one, "tx", "left").select("tx", F.coalesce("most", F.lit(0)).alias("most"), F.coalesce("w", none).alias("w"), F.coalesce("p", none).alias("p"))
+    active = F.when(F.size("w") > 0, F.col("w")).otherwise(F.array("most"))
+    nodes = F.array_union(F.array_union(F.sequence(F.lit(0), F.lit(n - 1)), active), "p")
+    role = F.when(F.array_contains(active, F.col("node")), "ACTIVE").when(F.array_contains("p", F.col("node")), "PASSIVE").otherwise("IGNORE")
+    return every.withColumn("node", F.explode(nodes)).select("tx", F.col("node").cast("int").alias("node"), role.alias("role"))
 
 
 def pushes(sets: DataFrame, role: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
@@ -138,8 +168,9 @@ def pushes(sets: DataFrame, role: DataFrame, ranges: DataFrame | None = None) ->
     out = local.join(targets, "tx").where("node <> target")
     if ranges is not None:
         ends = small(ranges.select(*KEY, "src", "dest"))
+        out, others = _of_tables(out.select("tx", "node", "target", *KEY), _names(ranges))
         both = F.array_contains(F.array("src", "dest"), F.col("node")) & F.array_contains(F.array("src", "dest"), F.col("target"))
-        out = out.join(ends, list(KEY), "left").where(~F.coalesce(both, F.lit(False)))
+        out = out.join(ends, list(KEY), "left").where(~F.coalesce(both, F.lit(False))).select(*others.columns).unionByName(others)
     return out.select("tx", "node", "target", *KEY)
 
 

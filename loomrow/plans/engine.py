@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from loomrow.config import Config, Migration, Service
 from loomrow.operators import analysis, conflicts, fold, graph, migration, placement, routing
-from loomrow.operators.frames import checkpoint
 from loomrow.sources.requests import without_no_ops
 
 
@@ -110,7 +109,7 @@ class Engine:
         c, after = self.config, placement.OverridePlan(self.plan, ranges)
         if c.migration == Migration.STOP_AND_COPY:
             return migration.analyse(migration.stopped_copy(placed, ranges, start), c.partitions, "stop_and_copy"), placement.VersionedPlan(((0, self.plan), (start, after)))
-        seen, later = checkpoint(migration.over_time(placed, ranges, start, end)), placement.VersionedPlan(((0, self.plan), (end, after)))
+        seen, later = migration.over_time(placed, ranges, start, end), placement.VersionedPlan(((0, self.plan), (end, after)))
         how = {Migration.SOURCE_ONLY: "source_only", Migration.ON_DEMAND: "on_demand", Migration.CRABBING: "crabbing"}[c.migration]
         if c.migration != Migration.CRABBING or not c.caught_up or caught_up_at is None:
             return migration.analyse(seen, c.partitions, how), later

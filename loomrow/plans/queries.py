@@ -540,8 +540,8 @@ def late_records(spark, sf_dir):
 
 
 def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, moves = checkpoint(_placed(spark, sf_dir)), tables.customer_moves(spark, sf_dir)
-    return checkpoint(migration.status(placed, moves, migration.first_touches(placed, moves, *tables.order_period(spark, sf_dir))))
+    placed, moves = _placed(spark, sf_dir), tables.customer_moves(spark, sf_dir)
+    return migration.status(placed, moves, migration.first_touches(placed, moves, *tables.order_period(spark, sf_dir)))
 
 
 @query(f"with {_MOVES} select tbl, k, src, dest, push_order, ((row_number() over (partition by src, dest order by push_order) - 1) // 50)::bigint as chunk from moves")
@@ -574,7 +574,7 @@ def source_only_sets(spark, sf_dir):
 @query(_ways("[case when tx >= (select a from period) then dest else src end]", "false"))
 def stop_and_copy_sets(spark, sf_dir):
     """Reads and writes of all nodes when everything is copied at once, before the first transaction of the period."""
-    placed, moves = checkpoint(_placed(spark, sf_dir)), tables.customer_moves(spark, sf_dir)
+    placed, moves = _placed(spark, sf_dir), tables.customer_moves(spark, sf_dir)
     return migration.analyse(migration.stopped_copy(placed, moves, tables.order_period(spark, sf_dir)[0]), NODES, "stop_and_copy")
 
 
@@ -606,7 +606,7 @@ def live_migration_sets(spark, sf_dir):
     """Reads and writes of all nodes before, in both phases of, and after a migration that the engine runs."""
     start, end = tables.order_period(spark, sf_dir)
     engine = Engine(spark, Config(partitions=NODES))
-    return engine.migrate(checkpoint(_placed(spark, sf_dir)), tables.customer_moves(spark, sf_dir), start, end, (start + end) // 2)[0]
+    return engine.migrate(_placed(spark, sf_dir), tables.customer_moves(spark, sf_dir), start, end, (start + end) // 2)[0]
 
 
 @query(_ways("[spot]", "spot = dest and not is_migrated", ", joined as (select s.*, case when bool_or(is_migrated) over (partition by tx, src, dest) then dest else src end as spot from seen s)"))
@@ -626,7 +626,7 @@ select t.tx, node, case when (t.tx, node) in (select tx, node from active) then
 def crabbing_roles(spark, sf_dir):
     """Which nodes take part while both ends run moving keys."""
     seen = _seen(spark, sf_dir)
-    return migration.roles(migration.analyse(seen, NODES, "crabbing"), seen, NODES, "crabbing")
+    return migration.roles(migration.analyse(seen, NODES, "crabbing", remote=False), seen, NODES, "crabbing")
 
 
 @query(f"""with {_ACC}, {_STATUS}, reads as (
@@ -638,7 +638,7 @@ select r.tx, r.node, a.node as target, tbl, k from reads r join active a on a.tx
 def crabbing_pushes(spark, sf_dir):
     """What nodes send, but for keys that both already have."""
     seen = _seen(spark, sf_dir)
-    sets = checkpoint(migration.analyse(seen, NODES, "crabbing"))
+    sets = migration.analyse(seen, NODES, "crabbing", remote=False)
     return migration.pushes(sets, migration.roles(sets, seen, NODES, "crabbing"), tables.customer_moves(spark, sf_dir))
 
 

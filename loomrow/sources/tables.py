@@ -29,8 +29,8 @@ def order_accesses(spark: SparkSession, sf_dir: str, replicated: bool = False) -
     lines = lines.groupBy("tx", "a.tbl", "a.k", "a.op").agg(F.min("a.seq").alias("seq")).select("tx", "seq", "tbl", "k", "op")
     out = customers.unionByName(lines)
     if replicated:
-        nations = orders.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("tx"), F.lit(1).alias("seq"), F.lit("nation").alias("tbl"), F.col("c_nationkey").cast("long").alias("k"), F.lit("R").alias("op"))
-        out = out.unionByName(nations)
+        nations = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("tx"), F.lit(1).alias("seq"), F.lit("nation").alias("tbl"), F.col("c_nationkey").cast("long").alias("k"), F.lit("R").alias("op"))
+        out = out.unionByName(nations.repartition("tx"))
     return out
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomrow import registry
-from loomrow.operators import conflicts, frames, graph, pairs, placement, repartition, routing
+from loomrow.operators import analysis, conflicts, frames, graph, migration, pairs, placement, repartition, routing
 
 
 def plan_of(df):
@@ -129,3 +129,22 @@ def test_fused_routes_are_those_of_the_plain_steps(spark, rule, size):
         want.update((batch, tx, node, *[None] * 6) for tx, node in route.items())
         want.update((batch, m["tx"], route[m["tx"]], *(m[c] for c in ("tbl", "k", "src", "dest", "cache_insert", "cache_delete"))) for m in moves)
     assert got == want
+
+
+def test_rows_are_distinct_before_they_are_given_to_nodes(spark):
+    """One row an access is moved for a transaction's sets, not one for each node; only tables with moving keys are joined with them."""
+    rng = random.Random(9)
+    rows = [(tx, s, rng.choice("abr"), rng.randrange(12), rng.choice("RRUI")) for tx in range(40) for s in range(5)]
+    placed = placement.ModuloPlan(4, ("r",)).place(spark.createDataFrame(rows * 2, "tx long, seq int, tbl string, k long, op string"))
+    text = plan_of(analysis.local_sets(placed, 4))
+    assert text.index("Generate") < text.index("Aggregate")
+    assert "Join" not in plan_of(analysis.plan_flags(placed, 4))
+    moves = spark.createDataFrame([("a", k, k % 4, (k + 1) % 4) for k in range(0, 12, 3)], "tbl string, k long, src int, dest int")
+    seen = migration.status(placed, moves, migration.first_touches(placed, moves, 10, 30))
+    assert plan_of(seen).index("Union") < plan_of(seen).index("Join")
+    for how in ("crabbing", "caught_up", "on_demand"):
+        every = migration.analyse(seen, 4, how)
+        assert Counter(map(tuple, every.collect())) == Counter(set(map(tuple, every.collect())))
+        near = migration.analyse(seen, 4, how, remote=False)
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, every.where("kind <> 'remote_read'").collect()))
+        assert sorted(map(tuple, migration.roles(near, seen, 4, how).collect())) == sorted(map(tuple, migration.roles(every, seen, 4, how).collect()))
