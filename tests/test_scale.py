@@ -148,3 +148,15 @@ def test_rows_are_distinct_before_they_are_given_to_nodes(spark):
         near = migration.analyse(seen, 4, how, remote=False)
         assert sorted(map(tuple, near.collect())) == sorted(map(tuple, every.where("kind <> 'remote_read'").collect()))
         assert sorted(map(tuple, migration.roles(near, seen, 4, how).collect())) == sorted(map(tuple, migration.roles(every, seen, 4, how).collect()))
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_plans_on_transactions_are_those_on_edges(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    rows = [(tx, 0, "a", rng.choice([rng.randrange(0, 40, 4), rng.randrange(40)]), "R") for tx in range(250)]
+    rows += [(tx, 1, rng.choice("ab"), rng.randrange(40), rng.choice("RU")) for tx in range(0, 250, 6)]
+    placed = placement.ModuloPlan(4).place(spark.createDataFrame(list(dict.fromkeys(rows)), "tx long, seq int, tbl string, k long, op string")).cache()
+    want = sorted(map(tuple, repartition.plan_moves(repartition.heat_vertices(placed), repartition.heat_edges(placed), 4, overload=1.05, clump_size=4).collect()))
+    monkeypatch.setattr(repartition, "heat_edges", lambda placed: pytest.fail("all edges were made"))
+    assert want and sorted(map(tuple, repartition.plan_moves_of(placed, 4, overload=1.05, clump_size=4).collect())) == want
+    assert registry.QUERIES["plan_moves"](spark, SMALL).count() > 0
