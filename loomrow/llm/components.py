@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomrow.llm._shared import checkpoint
+from loomrow.llm._shared import checkpoint, shuffled
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,11 +43,11 @@ def components(links: DataFrame) -> DataFrame:
     while was[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = checkpoint(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # in large every a has larger number than b
         large = checkpoint(large)
         low = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(shuffled(low), "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
         now = checkpoint(small)
         if (size_now := size(now)) == was:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomrow.llm._shared import checkpoint, parallelism, text_or_empty
+from loomrow.llm._shared import checkpoint, parallelism, shuffled, text_or_empty
 from loomrow.llm.components import components, forest
 
 BITS = 64
@@ -483,7 +483,7 @@ def _grid(members: DataFrame, block: int) -> DataFrame:
     most = roots.groupBy(*of).agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.sum("e").alias("e"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     parts = lambda n: F.greatest(F.lit(1), F.ceil(n / block), F.ceil(F.col("e") / _ELEMENTS * n / F.col("n"))).cast("int")
     most = checkpoint(most.select(*of, F.col("most.root").alias("common"), parts(F.col("n")).alias("data_blocks"), parts(F.col("n") - F.col("most.n")).alias("probe_blocks")))
-    met = members.join(most, list(of))
+    met = members.join(shuffled(most), list(of))
     own = lambda n, salt: F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = ("node", "size", "root")
@@ -497,7 +497,7 @@ def _once(df: DataFrame, many: DataFrame | None, key: list[str]) -> DataFrame:
     if many is None:
         return df
     same = lambda: [df[c].eqNullSafe(many[f"many {i}"]) for i, c in enumerate(key)]
-    return df.join(many, same(), "left_anti").unionByName(df.join(many, same(), "left_semi").dropDuplicates(key))
+    return df.join(shuffled(many), same(), "left_anti").unionByName(df.join(shuffled(many), same(), "left_semi").dropDuplicates(key))
 
 
 def _repeated(rows: DataFrame, key: list[str]) -> DataFrame | None:
@@ -558,12 +558,12 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
     families = components(links(checkpoint(classes.select("fp").distinct()), distance))
     # equal SimHashes are one family as well
     family = F.xxhash64(F.coalesce("root", "fp"), F.lit(seed))
-    classes = checkpoint(classes.join(families.withColumnRenamed("node", "fp"), "fp", "left").select("node", family.alias("family"), "size", "told", *(f"of {i}" for i in range(len(keys)))))
+    classes = checkpoint(classes.join(shuffled(families.withColumnRenamed("node", "fp")), "fp", "left").select("node", family.alias("family"), "size", "told", *(f"of {i}" for i in range(len(keys)))))
     met = classes.filter("size > 0").select("node", "family", "size", "told").mapInArrow(printed, "node long, size long, buckets array<long>")
     met = met.select("node", "size", F.posexplode("buckets").alias("turn", "bucket"))
     large = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("e") / _ELEMENTS)).cast("int")
     shared = met.groupBy("bucket", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("e")).filter("n > 1").select("bucket", "turn", large.alias("blocks"))
-    met = checkpoint(met.join(shared, ["bucket", "turn"]))
+    met = checkpoint(met.join(shuffled(shared), ["bucket", "turn"]))
 
     asked_for = [f"key {i}" for i in range(len(keys))]
     many = _repeated(rows, list(keys))
@@ -578,21 +578,21 @@ def similar_classes(docs: DataFrame, *, keys: tuple[str, ...], shingle: int = 5,
 
     def linked(cells: DataFrame) -> DataFrame:
         """Links among the rows of the cells, by their sets."""
-        told = _dealt(cells.drop("size").join(classes, "node"), deal)
+        told = _dealt(cells.drop("size").join(shuffled(classes), "node"), deal)
         whole = "bucket long, turn int, data_block int, probe_block int, role int, node long, root long, sketch binary"
         open_ = checkpoint(told.select(*CELL, "role", "node", "root", "family", "size", "told").mapInArrow(lambda x: _partners(x, limit, similarity), whole))
-        named = classes.join(open_.select("node").distinct(), "node", "left_semi").select("node", *(f"of {i}" for i in range(len(keys))))
-        known = texts.join(named, [F.col(f"of {i}").eqNullSafe(F.col(n)) for i, n in enumerate(asked_for)]).select("node", "text").mapInArrow(sets, "node long, set array<long>")
-        return checkpoint(_dealt(open_.join(known, "node").select(*CELL, "role", "node", "root", "sketch", "set"), deal).mapInArrow(lambda x: _confirmed(x, limit, similarity), LINKS))
+        named = classes.join(shuffled(open_.select("node").distinct()), "node", "left_semi").select("node", *(f"of {i}" for i in range(len(keys))))
+        known = texts.join(shuffled(named), [F.col(f"of {i}").eqNullSafe(F.col(n)) for i, n in enumerate(asked_for)]).select("node", "text").mapInArrow(sets, "node long, set array<long>")
+        return checkpoint(_dealt(open_.join(shuffled(known), "node").select(*CELL, "role", "node", "root", "sketch", "set"), deal).mapInArrow(lambda x: _confirmed(x, limit, similarity), LINKS))
 
     own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
     found = linked(met.select("bucket", "turn", own.alias("data_block"), own.alias("probe_block"), F.lit(3).alias("role"), "node", "size", F.col("node").alias("root")))
     hot = checkpoint(met.filter("blocks > 1").drop("blocks"))
     if not hot.isEmpty():
         roots = components(found)
-        members = checkpoint(hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        members = checkpoint(hot.join(shuffled(roots), "node", "left").withColumn("root", F.coalesce("root", "node")))
         found = found.unionByName(linked(_grid(members, block)))
-    return rows.select(*keys, "node").join(components(found), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
+    return rows.select(*keys, "node").join(shuffled(components(found)), "node", "left").select(*keys, F.coalesce("root", "node").alias("component"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -608,4 +608,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = checkpoint(classes.groupBy("component").agg(F.min(order).alias("k")).select(*(F.col("k")[c].alias(c) for c in key)))
     same = lambda a, b: a[key[0]].eqNullSafe(b[key[0]]) & (a[key[1]] == b[key[1]])
     many = _repeated(classes, list(key))
-    return _once(marked.join(kept, same(marked, kept), "left_semi"), many, list(key)).drop(*key)
+    return _once(marked.join(shuffled(kept), same(marked, kept), "left_semi"), many, list(key)).drop(*key)
