@@ -107,8 +107,8 @@ def _keyed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataFr
 
 
 def _routed(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataFrame:
-    """Keys in batches with the routes of the local-first rule."""
-    return routing.routed_locally(_keyed(spark, sf_dir, replicated), NODES)
+    """Keys in batches with the routes of the local-first rule, dealt by batch."""
+    return routing.routed_locally(_keyed(spark, sf_dir, replicated), NODES).repartition(tables.accesses_parts(spark, sf_dir), "batch")
 
 
 # --- placement and read/write sets

@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrow.operators.frames import parallelism
+
 #: Partitions that the queries place keys on, and transactions in a batch.
 NODES, BATCH = 4, 10
+#: Lines whose accesses a task takes; some three times as many rows.
+LINES_A_TASK = 60_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def accesses_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Parts that accesses are dealt to: as many as the session shuffles to, more for a log of more lines, so that a task's share doesn't grow."""
+    return max(parallelism(spark), -(-read(spark, sf_dir, "lineitem").count() // LINES_A_TASK))
+
+
 def order_accesses(spark: SparkSession, sf_dir: str, replicated: bool = False) -> DataFrame:
     """tx, seq, tbl, k, op: one transaction an order, which reads and updates its customer, reads its lines' parts and suppliers and updates the first line's supplier.
 
     With replicated, it also reads the customer's nation, which lies on every node.
     """
     # rows are dealt by transaction before they multiply; what follows by transaction needs no other shuffle
-    orders = read(spark, sf_dir, "orders").repartition("o_orderkey")
+    parts = accesses_parts(spark, sf_dir)
+    orders = read(spark, sf_dir, "orders").repartition(parts, "o_orderkey")
     mine = F.array(F.struct(F.lit("R").alias("op")), F.struct(F.lit("U").alias("op")))
     customers = orders.select(F.col("o_orderkey").alias("tx"), F.lit(0).alias("seq"), F.lit("customer").alias("tbl"), F.col("o_custkey").alias("k"), F.inline(mine))
     row = lambda seq, tbl, k, op: F.struct(seq.cast("int").alias("seq"), F.lit(tbl).alias("tbl"), F.col(k).alias("k"), F.lit(op).alias("op"))
     line = F.col("l_linenumber")
     each = F.array(row(line, "part", "l_partkey", "R"), row(line + 100, "supplier", "l_suppkey", "R"), F.when(line == 1, row(F.lit(0), "supplier", "l_suppkey", "U")))
-    lines = read(spark, sf_dir, "lineitem").repartition("l_orderkey").select(F.col("l_orderkey").alias("tx"), F.explode(each).alias("a")).where("a is not null")
+    lines = read(spark, sf_dir, "lineitem").repartition(parts, "l_orderkey").select(F.col("l_orderkey").alias("tx"), F.explode(each).alias("a")).where("a is not null")
     lines = lines.groupBy("tx", "a.tbl", "a.k", "a.op").agg(F.min("a.seq").alias("seq")).select("tx", "seq", "tbl", "k", "op")
     out = customers.unionByName(lines)
     if replicated:
         nations = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("tx"), F.lit(1).alias("seq"), F.lit("nation").alias("tbl"), F.col("c_nationkey").cast("long").alias("k"), F.lit("R").alias("op"))
-        out = out.unionByName(nations.repartition("tx"))
+        out = out.unionByName(nations.repartition(parts, "tx"))
     return out
 
 

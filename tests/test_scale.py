@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomrow import registry
 from loomrow.operators import analysis, conflicts, frames, graph, migration, pairs, placement, repartition, routing
+from loomrow.sources import tables
+from tests.oracle import compare
 
 
 def plan_of(df):
@@ -160,3 +162,11 @@ def test_plans_on_transactions_are_those_on_edges(spark, monkeypatch, seed):
     monkeypatch.setattr(repartition, "heat_edges", lambda placed: pytest.fail("all edges were made"))
     assert want and sorted(map(tuple, repartition.plan_moves_of(placed, 4, overload=1.05, clump_size=4).collect())) == want
     assert registry.QUERIES["plan_moves"](spark, SMALL).count() > 0
+
+
+def test_a_tasks_share_of_accesses_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LINES_A_TASK", 300)
+    assert tables.accesses_parts(spark, SMALL) == 20
+    assert tables.order_accesses(spark, SMALL, True).distinct()._jdf.queryExecution().executedPlan().toString().count(", 20)") >= 3
+    why, _ = compare(spark, registry.QUERIES["sink_reads"], registry.ORACLE_SQL["sink_reads"], SMALL)
+    assert why is None, why
